@@ -11,38 +11,30 @@ from pyspark.sql import functions as F
 from trackloom.functions import text
 from trackloom.operators.skew import left_join_salted
 from trackloom.schemas import RAW_TRACK_COLUMNS
+from trackloom.session import cut_lineage
 
 BY_TRACK_ID = [c for c in RAW_TRACK_COLUMNS if c != "track_id"]
 BY_ARTIST_TRACK = [c for c in RAW_TRACK_COLUMNS if c not in ("artist_name", "track_name")]
 
 
 def unique_values(df: DataFrame, key: str, targets: list[str]) -> DataFrame:
-    """Per key: the single value of each target, else null, and row count ``_n``."""
-    grouped = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
+    """Per non-null key: the single value of each target, else null."""
+    grouped = df.where(F.col(key).isNotNull()).groupBy(key).agg(
         *[f(c).alias(f"_{f.__name__}_{c}") for c in targets for f in (F.min, F.max)])
-    return grouped.select(key, "_n", *[
+    return grouped.select(key, *[
         F.when(F.col(f"_min_{c}") == F.col(f"_max_{c}"), F.col(f"_min_{c}")).alias(f"_fill_{c}") for c in targets])
 
 
 def fill_from_group(df: DataFrame, key: str, targets: list[str], marks: str | None = None) -> DataFrame:
-    """Fill all targets in one join. Rows with a null key pass by unshuffled.
+    """Fill all targets in one join; rows with a null key stay as they are.
 
     ``marks`` adds a bit mask column: bit i is set where targets[i] was filled.
     """
-    keyed = df.where(F.col(key).isNotNull())
-    lookup = unique_values(keyed, key, targets)
-    joined = left_join_salted(keyed, lookup, key, "_n")
-    return _fill(joined, df.columns, targets, marks).unionByName(
-        _fill(df.where(F.col(key).isNull()).withColumns(
-            {f"_fill_{c}": F.lit(None).cast(df.schema[c].dataType) for c in targets}), df.columns, targets, marks))
-
-
-def _fill(df: DataFrame, columns: list[str], targets: list[str], marks: str | None) -> DataFrame:
-    out = [F.coalesce(c, f"_fill_{c}").alias(c) if c in targets else F.col(c) for c in columns]
+    joined = left_join_salted(df, unique_values(df, key, targets), key)
+    out = [F.coalesce(c, f"_fill_{c}").alias(c) if c in targets else F.col(c) for c in df.columns]
     if marks:
         out.append(_mask([F.col(c).isNull() & F.col(f"_fill_{c}").isNotNull() for c in targets]).alias(marks))
-    return df.select(*out)
+    return joined.select(*out)
 
 
 def _mask(bits: list[Column]) -> Column:
@@ -63,8 +55,12 @@ def fill_by_artist_track(df: DataFrame, marks: str | None = None) -> DataFrame:
 
 
 def deterministic_fill(df: DataFrame, marks: bool = False) -> DataFrame:
-    """Both passes. With ``marks``, columns _pass1 and _pass2 hold the bit masks."""
-    first = fill_by_track_id(df, "_pass1" if marks else None)
+    """Both passes. With ``marks``, columns _pass1 and _pass2 hold the bit masks.
+
+    Each pass reads its input three times (hot keys, lookup, rows), so what a
+    pass starts from is written to the shared folder once.
+    """
+    first = cut_lineage(fill_by_track_id(cut_lineage(df), "_pass1" if marks else None))
     return fill_by_artist_track(first, "_pass2" if marks else None)
 
 

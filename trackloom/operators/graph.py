@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from trackloom.functions import text
 from trackloom.operators.neighbours import cosine_top_k
-from trackloom.operators.quantiles import exact_quantiles, value_counts
+from trackloom.operators.quantiles import exact_quantiles
 from trackloom.operators.skew import first_per_key
 from trackloom.schemas import GRAPH_NUMERIC_COLUMNS
 
@@ -83,22 +83,18 @@ def similarity_features(songs: DataFrame) -> DataFrame:
     """song_id and its z-scored features as ``vec``.
 
     Text becomes numbers, gaps the column median, an all-empty column zero. The
-    medians are exact and never gather a column in one task; they and the
-    moments are one row each.
+    medians are exact and never gather a column in one task; medians and moments
+    are a handful of numbers and enter the plan as literals.
     """
     features = [c for c in GRAPH_NUMERIC_COLUMNS if c in songs.columns]
     numbers = songs.select("song_id", *[_number(songs, c).alias(c) for c in features])
     long = numbers.unpivot([], features, "feature", "value")
-    medians = exact_quantiles(value_counts(long, ["feature"], "value"), ["feature"], "value", [0.5])
-    one_row = medians.agg(*[F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"m_{c}") for c in features])
-    filled = numbers.join(F.broadcast(one_row)).select(
-        "song_id", *[F.coalesce(c, f"m_{c}", F.lit(0.0)).alias(c) for c in features])
+    medians = {r["feature"]: r["q"] for r in exact_quantiles(long, ["feature"], "value", [0.5]).collect()}
+    filled = numbers.select("song_id", *[F.coalesce(c, F.lit(medians.get(c, 0.0))).alias(c) for c in features])
     moments = filled.agg(
-        *[F.avg(c).alias(f"avg_{c}") for c in features], *[F.stddev_pop(c).alias(f"std_{c}") for c in features])
-    scaled = F.array(*[
-        (F.col(c) - F.col(f"avg_{c}")) / F.when(F.col(f"std_{c}") == 0, 1.0).otherwise(F.col(f"std_{c}"))
-        for c in features])
-    return filled.join(F.broadcast(moments)).select("song_id", scaled.alias("vec"))
+        *[F.avg(c).alias(f"avg_{c}") for c in features], *[F.stddev_pop(c).alias(f"std_{c}") for c in features]).first()
+    scaled = F.array(*[(F.col(c) - F.lit(moments[f"avg_{c}"])) / F.lit(moments[f"std_{c}"] or 1.0) for c in features])
+    return filled.select("song_id", scaled.alias("vec"))
 
 
 def similarity_score(cosine: Column) -> Column:

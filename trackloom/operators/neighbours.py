@@ -92,8 +92,9 @@ def cosine_top_k(df: DataFrame, k: int, id_column: str = "id", vector_column: st
 
     members = answers.where(F.col("n") <= k + 1).select(F.explode("ids").alias("id"), "near")
     if facts["large"]:
-        lookup = answers.where(F.col("n") > k + 1).select("unit", "n", "near")
-        joined = left_join_salted(rows.where(~F.col("zero")).select("unit", "id"), lookup, "unit", "n")
+        lookup = answers.where(F.col("n") > k + 1).select("unit", F.xxhash64("unit").alias("_h"), "near")
+        copies = rows.where(~F.col("zero")).select("unit", F.xxhash64("unit").alias("_h"), "id")
+        joined = left_join_salted(copies, lookup, "unit", "_h")
         members = members.unionByName(joined.where(F.col("near").isNotNull()).select("id", "near"))
     if facts["zero_groups"]:
         lowest = rows.select("id").orderBy("id").limit(k + 1).agg(F.sort_array(F.collect_list("id")).alias("low"))

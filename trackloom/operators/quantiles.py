@@ -1,81 +1,88 @@
 """Exact quantiles with linear interpolation, for value sets of any size.
 
-The built-in ``percentile`` keeps every distinct value of a group in one task.
-Here equal values collapse to (value, count) first; histograms then narrow each
-wanted rank down to one thin slice of the value range, and only the slices that
-hold a wanted rank are sorted.
+The built-in ``percentile`` keeps every distinct value of a group in one task, so
+it is used only below a checked row count. Beyond it equal values collapse to
+(value, count); histograms narrow each wanted rank down to one thin slice of the
+value range, and only the slices that hold a wanted rank are sorted.
 """
 
+from math import ceil, floor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.session import cut_lineage
+
+# Up to this many rows the distinct values of a group fit in one task.
+IN_TASK_ROWS = 2_000_000
 SLICES = 4096
-LEVELS = 2
+# Distinct values of a slice that one task may sort.
+THIN = 200_000
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
+                    in_task_rows: int = IN_TASK_ROWS, thin: int = THIN) -> DataFrame:
+    """(keys, p, q) of the non-null values per key.
 
+    ``keys`` must have few distinct values, such as feature names and flags:
+    the ranks under way, keys x 2 x len(probs), are kept on the driver.
+    """
+    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    if present.count() <= in_task_rows:
+        levels = F.array(*[F.lit(float(p)) for p in probs])
+        grouped = present.groupBy(*keys).agg(F.percentile("v", levels).alias("q"))
+        return grouped.select(*keys, F.explode(F.arrays_zip(levels.alias("p"), F.col("q"))).alias("x")).select(
+            *keys, "x.p", "x.q")
+    return _by_slices(present, keys, probs, thin)
 
-def exact_quantiles(counts: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Quantiles per key from a (keys, value, ``c``) count table.
 
-    ``keys`` must have few distinct values (feature names, flags): the tables
-    of slices that are broadcast hold at most keys x 2 x len(probs) rows.
-    Returns keys, ``p``, ``q``.
-    """
-    v = F.col(value).cast("double")
+def _by_slices(present: DataFrame, keys: list[str], probs: list[float], thin: int) -> DataFrame:
+    spark = present.sparkSession
+    counts = cut_lineage(present.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")))
     bounds = counts.groupBy(*keys).agg(
-        F.sum("c").alias("n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    wanted = (
-        bounds.select(*keys, "n", "_lo", "_hi",
-                      F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-        .withColumn("_pos", F.col("p") * (F.col("n") - 1))
-        .withColumn("_rank", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))))
-    )
-    slices = wanted.select(*keys, "_lo", "_hi", "_rank").distinct().withColumn("_start", F.lit(0).cast("bigint"))
-    for _ in range(LEVELS):
-        slices = _narrow(counts, slices, keys, v)
-
-    inside = counts.select(*keys, v.alias("_v"), "c").join(
-        F.broadcast(slices.select(*keys, "_lo", "_hi", "_start").distinct()), keys)
-    inside = inside.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    order = W.partitionBy(*keys, "_lo", "_hi").orderBy("_v")
-    ranked = inside.withColumn("_upto", F.col("_start") + F.sum("c").over(order))
-    hit = (
-        ranked.join(F.broadcast(slices), [*keys, "_lo", "_hi", "_start"])
-        .where((F.col("_rank") >= F.col("_upto") - F.col("c")) & (F.col("_rank") < F.col("_upto")))
-        .select(*keys, "_rank", "_v").distinct()
-    )
-    return (
-        wanted.drop("_lo", "_hi").join(F.broadcast(hit), [*keys, "_rank"])
-        .groupBy(*keys, "p", "_pos").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-        .select(*keys, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))).alias("q"))
-    )
-
-
-def _narrow(counts: DataFrame, slices: DataFrame, keys: list[str], v) -> DataFrame:
-    """Replace each slice by the sub-slice that holds its wanted rank.
-
-    A sub-slice is the closed interval of the values that fell into it, so its
-    ends are real values and no rounding can move a value across a border.
-    """
-    spans = slices.select(*keys, "_lo", "_hi", "_start").distinct()
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(
-        F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SLICES), F.lit(SLICES - 1))
-    ).otherwise(F.lit(0))
-    cells = (
-        counts.select(*keys, v.alias("_v"), "c").join(F.broadcast(spans), keys)
-        .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        .groupBy(*keys, "_lo", "_hi", "_start", cell.alias("_cell"))
-        .agg(F.sum("c").alias("_c"), F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2"))
-    )
-    order = W.partitionBy(*keys, "_lo", "_hi").orderBy("_cell")
-    ends = cells.withColumn("_upto", F.col("_start") + F.sum("_c").over(order))
-    return (
-        ends.join(F.broadcast(slices), [*keys, "_lo", "_hi", "_start"])
-        .where((F.col("_rank") >= F.col("_upto") - F.col("_c")) & (F.col("_rank") < F.col("_upto")))
-        .select(*keys, F.col("_lo2").alias("_lo"), F.col("_hi2").alias("_hi"), "_rank",
-                (F.col("_upto") - F.col("_c")).alias("_start"))
-    )
+        F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("d")).collect()
+    sizes = {tuple(b[k] for k in keys): b["n"] for b in bounds}
+    wanted = {
+        (*key, rank): None for key, n in sizes.items() for p in probs
+        for rank in (floor(p * (n - 1)), ceil(p * (n - 1)))}
+    spans = {tuple(b[k] for k in keys): (b["lo"], b["hi"], 0, b["d"]) for b in bounds}
+    slices = {target: spans[target[:-1]] for target in wanted}
+
+    key_types = ", ".join(f"{k} {present.schema[k].dataType.simpleString()}" for k in keys)
+    head = f"{key_types}, " if keys else ""
+
+    def table(picked):
+        rows = [(*t, lo, hi, start) for t, (lo, hi, start, _d) in picked.items()]
+        return spark.createDataFrame(rows, f"{head}rank bigint, lo double, hi double, start bigint")
+
+    def holding(picked, cell, measure):
+        """For each picked rank the cell of its slice that the rank falls into."""
+        ranks = table(picked)
+        spans_ = ranks.select(*keys, "lo", "hi", "start").distinct()
+        near = counts.join(F.broadcast(spans_), keys) if keys else counts.join(F.broadcast(spans_))
+        inside = near.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        cells = inside.groupBy(*keys, "lo", "hi", "start", cell.alias("cell")).agg(F.sum("c").alias("c"), *measure)
+        upto = F.col("start") + F.sum("c").over(W.partitionBy(*keys, "lo", "hi").orderBy("cell"))
+        ends = cells.withColumn("upto", upto).join(F.broadcast(ranks), [*keys, "lo", "hi", "start"])
+        return ends.where((F.col("rank") >= F.col("upto") - F.col("c")) & (F.col("rank") < F.col("upto"))).collect()
+
+    cell = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLICES), F.lit(SLICES - 1))
+    measure = [F.min("v").alias("lo2"), F.max("v").alias("hi2"), F.count(F.lit(1)).alias("d")]
+    while True:
+        # A slice ends at real values, so rounding cannot move one across a border.
+        wide = {t: s for t, s in slices.items() if s[3] > thin and s[1] > s[0]}
+        if not wide:
+            break
+        for r in holding(wide, cell, measure):
+            slices[(*[r[k] for k in keys], r["rank"])] = (r["lo2"], r["hi2"], r["upto"] - r["c"], r["d"])
+    for r in holding(slices, F.col("v"), []):
+        wanted[(*[r[k] for k in keys], r["rank"])] = r["cell"]
+
+    def at(key, p):
+        position = p * (sizes[key] - 1)
+        low, high = wanted[(*key, floor(position))], wanted[(*key, ceil(position))]
+        return low + (high - low) * (position - floor(position))
+
+    rows = [(*key, float(p), at(key, p)) for key in sizes for p in probs]
+    return spark.createDataFrame(rows, f"{head}p double, q double")

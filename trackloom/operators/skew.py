@@ -5,32 +5,45 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # A key is hot when it owns more than 1/HOT_KEYS of all rows, so there are
-# fewer than HOT_KEYS hot keys whatever the data: the broadcast is bounded.
+# fewer than HOT_KEYS hot keys whatever the data.
 HOT_KEYS = 512
+# Size of the frequent-items sketch: its error, about 3.5 / TRACKED of all rows,
+# stays well below the share that makes a key hot.
+TRACKED = 16384
 SALTS = 64
 
 
-def left_join_salted(rows: DataFrame, lookup: DataFrame, key: str, weight: str) -> DataFrame:
+def hot_keys(df: DataFrame, column: str) -> list:
+    """Keys that own more than 1/HOT_KEYS of the non-null rows, by one sketch
+    aggregate over this column alone. It only steers the layout of a join."""
+    row = df.select(column).agg(
+        F.count(column).alias("n"), F.expr(f"approx_top_k({column}, {HOT_KEYS}, {TRACKED})").alias("top")).first()
+    return [item["item"] for item in row["top"] if item["count"] * HOT_KEYS > row["n"]]
+
+
+def left_join_salted(rows: DataFrame, lookup: DataFrame, key: str, hot_by: str | None = None) -> DataFrame:
     """Left join of ``rows`` to a lookup that is unique on ``key``.
 
-    ``lookup[weight]`` is how many of ``rows`` carry the key. Rows of a hot key
-    are spread over SALTS shuffle partitions and only that key's lookup row is
-    repeated. The salt mixes in the map partition number, so exact copies of one
-    row spread too, and a retried task salts the same way.
+    Rows of a hot key, and rows without a key, are spread over SALTS shuffle
+    partitions; only the lookup rows of hot keys are repeated. The salt mixes in
+    the map partition number, so exact copies of one row spread too, and a
+    retried task salts the same way. ``hot_by`` names a column of both sides that
+    stands for the key in the hot test (for keys of a nested type).
     """
-    total = lookup.agg(F.sum(weight)).scalar()
-    hot = lookup.where(F.col(weight) * HOT_KEYS > total).select(key, F.lit(True).alias("_hot"))
-    value_columns = [c for c in rows.columns if c != key]
-    salt = F.pmod(F.spark_partition_id() + F.xxhash64(*value_columns[:4]), F.lit(SALTS)).cast("int")
-    salted = (
-        rows.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    spread = F.when(F.col(weight) * HOT_KEYS > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0)))
-    repeated = lookup.withColumn("_salt", F.explode(spread)).drop(weight)
-    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+    by = hot_by or key
+    hot = hot_keys(rows, by)
+    is_hot = F.col(by).isin(hot) if hot else F.lit(False)
+    mixed = F.xxhash64(*[c for c in rows.columns if c not in (key, by)][:4])
+    salt = F.pmod(F.spark_partition_id() + mixed, F.lit(SALTS)).cast("int")
+    salted = rows.withColumn("_salt", F.when(F.col(by).isNull() | is_hot, salt).otherwise(F.lit(0)))
+    if hot:
+        spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        lookup = lookup.withColumn("_salt", F.explode(spread))
+    else:
+        lookup = lookup.withColumn("_salt", F.lit(0))
+    if hot_by and hot_by != key:
+        lookup = lookup.drop(hot_by)
+    return salted.join(lookup, [key, "_salt"], "left").drop("_salt")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -45,31 +58,30 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return picked.select(*[f"_row.{c}" if c in rest else c for c in df.columns])
 
 
-def smallest_hashes(df: DataFrame, label: list[str], hashed: str, tie: str, wanted: Column,
-                    bits: int = 32, bucket_bits: int = 16) -> DataFrame:
-    """Rows with the ``wanted`` smallest hashes of each label, exactly.
+def mark_smallest_hashes(df: DataFrame, labels: list[str], hashed: str, tie: str, wanted: Column,
+                         out: str, bits: int = 32, bucket_bits: int = 16) -> DataFrame:
+    """Add boolean ``out``: true for exactly the ``wanted`` smallest hashes per label.
 
-    ``wanted`` is a column over the per-label row count ``n``. Counting hashes in
-    2**bucket_bits buckets finds the bucket where each label's quota ends; only
-    that bucket's rows (about n / 2**bucket_bits of them) are ranked.
+    ``wanted`` is a column over the label's row count ``n``; ``labels`` must have
+    few distinct values (classes). Counting hashes in 2**bucket_bits buckets finds
+    the bucket where each quota ends; only its rows, about n / 2**bucket_bits, are
+    ranked, and the last row taken becomes the label's cut.
     """
-    bucketed = df.withColumn("_b", F.shiftright(hashed, bits - bucket_bits))
-    counts = bucketed.groupBy(*label, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    running = W.partitionBy(*label).orderBy("_b")
-    whole = W.partitionBy(*label)
+    bucketed = df.select(*labels, hashed, tie, F.shiftright(hashed, bits - bucket_bits).alias("_b"))
+    counts = bucketed.groupBy(*labels, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.col("_upto") - F.col("_c")
     edges = (
-        counts.withColumn("_upto", F.sum("_c").over(running))
-        .withColumn("n", F.sum("_c").over(whole))
+        counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(*labels).orderBy("_b")))
+        .withColumn("n", F.sum("_c").over(W.partitionBy(*labels)))
         .withColumn("_want", wanted)
-        .where((F.col("_upto") - F.col("_c") < F.col("_want")) & (F.col("_upto") >= F.col("_want")))
-        .select(*label, F.col("_b").alias("_edge"), (F.col("_want") - (F.col("_upto") - F.col("_c"))).alias("_room"))
-    )
-    joined = bucketed.join(F.broadcast(edges), label) if label else bucketed.join(F.broadcast(edges))
-    below = joined.where(F.col("_b") < F.col("_edge"))
-    at_edge = (
-        joined.where(F.col("_b") == F.col("_edge"))
-        .withColumn("_rn", F.row_number().over(W.partitionBy(*label, "_b").orderBy(hashed, tie)))
-        .where(F.col("_rn") <= F.col("_room"))
-        .drop("_rn")
+        .where((upto < F.col("_want")) & (F.col("_upto") >= F.col("_want")))
+        .select(*labels, "_b", (F.col("_want") - upto).alias("_room"))
     )
-    return below.unionByName(at_edge).drop("_b", "_edge", "_room")
+    rank = F.row_number().over(W.partitionBy(*labels, "_b").orderBy(hashed, tie))
+    cuts = (
+        bucketed.join(F.broadcast(edges), [*labels, "_b"]).withColumn("_rank", rank)
+        .where(F.col("_rank") == F.col("_room"))
+        .select(*labels, F.struct(F.col(hashed).alias("h"), F.col(tie).alias("t")).alias("_cut")))
+    marked = df.join(F.broadcast(cuts), labels, "left") if labels else df.join(F.broadcast(cuts), how="left")
+    inside = F.struct(F.col(hashed).alias("h"), F.col(tie).alias("t")) <= F.col("_cut")
+    return marked.withColumn(out, F.coalesce(inside, F.lit(False))).drop("_cut")

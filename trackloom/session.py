@@ -1,6 +1,7 @@
 """Session defaults and lineage cutting."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("trackloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -36,15 +38,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a session that names none
+    (a test) gets a temporary folder, which is then kept in the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("trackloom.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="trackloom-")
+        spark.conf.set("trackloom.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session that
-    names none (a test) gets a temporary one.
+    Later steps then start from files that outlive any executor, read only the
+    columns they use, and know the table's size when they pick a join.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trackloom-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
