@@ -224,12 +224,12 @@ SELECT {_ALL} FROM best WHERE rn = 1 OR track_id IS NULL"""
 
 def zero_signal_dropped(spark, d):
     """A narrow feature set, so that some rows do lack every predictor."""
-    kept = clean.drop_zero_signal(valid(spark, d), "energy", ["valence", "danceability", "tempo"])
-    return clean.drop_blank_tracks(kept).select("row_id", "energy", "valence", "danceability", "tempo")
+    kept = clean.drop_zero_signal(valid(spark, d), "energy", ["valence", "tempo"])
+    return clean.drop_blank_tracks(kept).select("row_id", "energy", "valence", "tempo")
 
 
-ZERO_SIGNAL_DROPPED = f"""WITH {DIRTY}, {VALID} SELECT row_id, energy, valence, danceability, tempo FROM valid
-WHERE NOT (energy IS NULL AND valence IS NULL AND danceability IS NULL AND tempo IS NULL) AND trim(track_name) <> ''"""
+ZERO_SIGNAL_DROPPED = f"""WITH {DIRTY}, {VALID} SELECT row_id, energy, valence, tempo FROM valid
+WHERE NOT (energy IS NULL AND valence IS NULL AND tempo IS NULL) AND trim(track_name) <> ''"""
 
 
 def consolidated_tracks(spark, d):
