@@ -180,7 +180,7 @@ def _assign(groups: DataFrame, cells_wanted: int, n: int, block_rows: int):
             cell = gaps.argmin(axis=1)
             yield pdf.assign(cell=cell.astype("int32"), gap=gaps[np.arange(len(pdf)), cell])
 
-    schema = T.StructType(groups.schema.fields).add("cell", "int").add("gap", "double")
+    schema = T.StructType([*groups.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
     placed = cut_lineage(groups.mapInPandas(nearest, schema))
     cells = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("gap").alias("near"), F.max("gap").alias("far"))
@@ -229,7 +229,7 @@ def _visits(cells):
         rows, cols = np.nonzero(open_cells[:, column])
         away = ~((to_cell[cols] == part["cell"].to_numpy()[rows]) & (to_block[cols] == part["block"].to_numpy()[rows]))
         rows, cols = rows[away], cols[away]
-        out = part.drop(columns=[]).iloc[rows].reset_index(drop=True)
+        out = part.iloc[rows].reset_index(drop=True)
         return out[["rid", "unit", "bound", "cell", "block"]].assign(
             to_cell=to_cell[cols].astype("int32"), to_block=to_block[cols].astype("int32"))
 
