@@ -1 +1,463 @@
-QUERIES = {}
+"""Geometry, decoder, metric, split and fitted-model queries."""
+
+from pyspark.sql import functions as F
+
+from checks.base import DIRTY, FLAGGED, VALID, dirty, flagged, hash32_sql, rounded, valid
+from trackloom.functions import circle, decode
+from trackloom.operators import clean, impute, metrics, softboost, splits
+from trackloom.plans import experiments
+from trackloom.session import cut_lineage
+from trackloom.sources.adapters import table
+
+PI = "pi()"
+
+# --- predictions: a key and a mode per order line, next to the observed ones -----
+
+PREDICTED = f"""{DIRTY}, pred AS (
+  SELECT CAST(key AS INT) AS true_key, CAST(mode AS INT) AS true_mode,
+    CAST((key + CAST(tempo AS BIGINT) % 5 * (CAST(duration_ms AS BIGINT) % 3)) % 12 AS INT) AS predicted_key,
+    CAST((mode + CAST(tempo AS BIGINT) % 3) % 2 AS INT) AS predicted_mode, time_signature AS part
+  FROM dirty WHERE key IS NOT NULL AND mode IS NOT NULL AND duration_ms IS NOT NULL AND tempo >= 0)"""
+
+
+def predicted(spark, d):
+    rows = dirty(spark, d).where(F.col("key").isNotNull() & F.col("mode").isNotNull()
+                                 & F.col("duration_ms").isNotNull() & (F.col("tempo") >= 0))
+    beat, length = F.col("tempo").cast("bigint"), F.col("duration_ms").cast("bigint")
+    return rows.select(
+        F.col("key").cast("int").alias("true_key"), F.col("mode").cast("int").alias("true_mode"),
+        ((F.col("key") + beat % 5 * (length % 3)) % 12).cast("int").alias("predicted_key"),
+        ((F.col("mode") + beat % 3) % 2).cast("int").alias("predicted_mode"), F.col("time_signature").alias("part"))
+
+
+def _ring(a, b):
+    return f"least(abs({a} - {b}), 12 - abs({a} - {b}))"
+
+
+def _chord(a, b, step=1):
+    x, y = f"2 * {PI} * ({step} * {a} % 12) / 12", f"2 * {PI} * ({step} * {b} % 12) / 12"
+    return f"sqrt(pow(cos({x}) - cos({y}), 2) + pow(sin({x}) - sin({y}), 2))"
+
+
+def class_geometry(spark, d):
+    """Distances of every observed pair of true and predicted class."""
+    pairs = predicted(spark, d).groupBy("true_key", "true_mode", "predicted_key", "predicted_mode").agg(
+        F.count(F.lit(1)).alias("rows"))
+    a, b = F.col("true_key"), F.col("predicted_key")
+    ma, mb = F.col("true_mode"), F.col("predicted_mode")
+    joint = circle.joint_class(b, mb)
+    found = pairs.withColumns({
+        "steps": circle.circular_distance(a, b), "chord": circle.chord(a, b),
+        "fifths_chord": circle.chord(a, b, "fifths"), "joint_chord": circle.joint_chord(a, ma, b, mb),
+        "joint_class": joint, "joint_key": circle.joint_key(joint), "joint_mode": circle.joint_mode(joint),
+        "weight": circle.error_weight(circle.circular_distance(a, b))})
+    return rounded(found, "chord", "fifths_chord", "joint_chord")
+
+
+CLASS_GEOMETRY = f"""WITH {PREDICTED}
+SELECT true_key, true_mode, predicted_key, predicted_mode, count(*) AS rows, {_ring('true_key', 'predicted_key')} AS steps,
+  round({_chord('true_key', 'predicted_key')}, 6) AS chord, round({_chord('true_key', 'predicted_key', 7)}, 6) AS fifths_chord,
+  round(sqrt(pow({_chord('true_key', 'predicted_key')}, 2) + pow(2 * (true_mode - predicted_mode), 2)), 6) AS joint_chord,
+  predicted_mode * 12 + predicted_key AS joint_class, predicted_key AS joint_key, predicted_mode AS joint_mode,
+  CASE {_ring('true_key', 'predicted_key')} WHEN 0 THEN 1 WHEN 1 THEN 1.25 WHEN 2 THEN 1.5 WHEN 3 THEN 1.75 ELSE 2 END AS weight
+FROM pred GROUP BY true_key, true_mode, predicted_key, predicted_mode"""
+
+
+def soft_target_mass(spark, d):
+    """What the adopted soft targets, and a fifths variant, give each observed pair."""
+    pairs = predicted(spark, d).groupBy("true_key", "predicted_key").agg(F.count(F.lit(1)).alias("rows"))
+
+    def value(targets):
+        return circle.as_literal(targets)[F.col("true_key")][F.col("predicted_key")]
+
+    return rounded(pairs.withColumns({
+        "adopted": value(softboost.key_targets()),
+        "fifths_linear": value(softboost.key_targets(0.5, 3.0, "fifths", "gaussian_linear"))}),
+        "adopted", "fifths_linear")
+
+
+SOFT_TARGET_MASS = f"""WITH {PREDICTED}, keys AS (SELECT unnest(range(0, 12)) AS k),
+grid AS (SELECT a.k AS t, b.k AS p, exp(-2.0 * pow({_chord('a.k', 'b.k')}, 2)) AS w1, exp(-3.0 * {_chord('a.k', 'b.k', 7)}) AS w2
+  FROM keys a, keys b),
+soft AS (SELECT t, p, 0.6 * CAST(t = p AS INT) + 0.4 * w1 / sum(w1) OVER (PARTITION BY t) AS adopted,
+  0.5 * CAST(t = p AS INT) + 0.5 * w2 / sum(w2) OVER (PARTITION BY t) AS fifths_linear FROM grid)
+SELECT true_key, predicted_key, count(*) AS rows, round(any_value(adopted), 6) AS adopted,
+  round(any_value(fifths_linear), 6) AS fifths_linear
+FROM pred JOIN soft ON t = true_key AND p = predicted_key GROUP BY true_key, predicted_key"""
+
+
+def xyz_round_trip(spark, d):
+    """Encode key and mode as a point, shift it a little, decode it again."""
+    rows = dirty(spark, d).where(F.col("key").isNotNull() & F.col("mode").isNotNull())
+    x, y, z = circle.key_mode_to_xyz(F.col("key"), F.col("mode"))
+    points = rows.select("row_id", (x + F.col("danceability") * 0.3).alias("x"), (y - F.col("liveness") * 0.3).alias("y"),
+                         (z + F.col("loudness") / 12).alias("z"))
+    return points.select("row_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "z",
+                         circle.xyz_to_key(F.col("x"), F.col("y")).alias("key"), circle.z_to_mode(F.col("z")).alias("mode"))
+
+
+XYZ_ROUND_TRIP = f"""WITH {DIRTY}, points AS (SELECT row_id, cos(2 * {PI} * key / 12) + danceability * CAST(0.3 AS DOUBLE) AS x,
+  sin(2 * {PI} * key / 12) - liveness * CAST(0.3 AS DOUBLE) AS y,
+  CASE WHEN mode >= 1 THEN 1 ELSE -1 END + loudness / 12 AS z FROM dirty WHERE key IS NOT NULL AND mode IS NOT NULL),
+turns AS (SELECT *, atan2(y, x) + CASE WHEN atan2(y, x) < 0 THEN 2 * {PI} ELSE 0 END AS a FROM points)
+SELECT row_id, round(x, 6) AS x, round(y, 6) AS y, z, CAST(round_even(a * 12 / (2 * {PI}), 0) AS INT) % 12 AS key,
+  CASE WHEN z >= 0 THEN 1 ELSE 0 END AS mode FROM turns"""
+
+# --- metrics ---------------------------------------------------------------------
+
+_KEY_AGGS = f"""avg(CAST(true_key = predicted_key AS INT)) AS accuracy, avg(dist) AS mean_key_distance,
+  CAST(quantile_cont(dist, 0.5) AS DOUBLE) AS median_key_distance, avg(CAST(dist <= 1 AS INT)) AS within_1_semitone,
+  avg(CAST(dist <= 2 AS INT)) AS within_2_semitones"""
+
+
+def _f1_sql(source, by, true="true_key", predicted_="predicted_key"):
+    group = f"{by}, " if by else ""
+    over = f"GROUP BY {by}" if by else ""
+    return f"""(SELECT {group}avg(2 * tp / (2 * tp + off)) AS f1_macro FROM (
+  SELECT {group}label, sum(tp) AS tp, sum(off) AS off FROM (
+    SELECT {group}{true} AS label, CAST({true} = {predicted_} AS INT) AS tp, CAST({true} <> {predicted_} AS INT) AS off FROM {source}
+    UNION ALL SELECT {group}{predicted_}, 0, CAST({true} <> {predicted_} AS INT) FROM {source}) GROUP BY {group}label) {over})"""
+
+
+_KEY_COLUMNS = ["accuracy", "f1_macro", "mean_key_distance", "median_key_distance", "within_1_semitone", "within_2_semitones"]
+
+
+def _rounds(columns):
+    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+
+
+def key_metrics(spark, d):
+    return rounded(metrics.key_metrics(predicted(spark, d), by=["part"], planar=True),
+                   *_KEY_COLUMNS, "mean_2d_distance", "median_2d_distance")
+
+
+KEY_METRICS = f"""WITH {PREDICTED}, m AS (SELECT *, {_ring('true_key', 'predicted_key')} AS dist,
+  {_chord('true_key', 'predicted_key')} AS chord FROM pred)
+SELECT part, {_rounds([*_KEY_COLUMNS, 'mean_2d_distance', 'median_2d_distance'])} FROM (
+  SELECT part, {_KEY_AGGS}, avg(chord) AS mean_2d_distance, quantile_cont(chord, 0.5) AS median_2d_distance FROM m GROUP BY part)
+JOIN {_f1_sql('m', 'part')} USING (part)"""
+
+
+def key_mode_metrics(spark, d):
+    found = metrics.key_mode_metrics(predicted(spark, d), by=["part"], spatial=True)
+    return rounded(found, *[c for c in found.columns if c != "part"])
+
+
+_JOINT = ["key_accuracy", "mode_accuracy", "joint_accuracy", "mean_key_distance", "median_key_distance",
+          "within_1_semitone", "within_2_semitones", "mean_3d_distance", "median_3d_distance"]
+KEY_MODE_METRICS = f"""WITH {PREDICTED}, m AS (SELECT *, {_ring('true_key', 'predicted_key')} AS dist,
+  sqrt(pow({_chord('true_key', 'predicted_key')}, 2) + pow(2 * (true_mode - predicted_mode), 2)) AS apart FROM pred)
+SELECT part, {_rounds(_JOINT)} FROM (SELECT part, avg(CAST(true_key = predicted_key AS INT)) AS key_accuracy,
+  avg(CAST(true_mode = predicted_mode AS INT)) AS mode_accuracy,
+  avg(CAST(true_key = predicted_key AND true_mode = predicted_mode AS INT)) AS joint_accuracy, {_KEY_AGGS.split(' AS accuracy, ')[1]},
+  avg(apart) AS mean_3d_distance, quantile_cont(apart, 0.5) AS median_3d_distance FROM m GROUP BY part)"""
+
+
+def regression_metrics(spark, d):
+    rows = valid(spark, d).where(F.col("energy").isNotNull() & F.col("speechiness").isNotNull())
+    return rounded(metrics.regression_metrics(rows, "energy", "speechiness"), "mae", "rmse", "r2")
+
+
+REGRESSION_METRICS = f"""WITH {DIRTY}, {VALID}
+SELECT round(avg(abs(energy - speechiness)), 6) AS mae, round(sqrt(avg(pow(energy - speechiness, 2))), 6) AS rmse,
+  round(1 - avg(pow(energy - speechiness, 2)) / var_pop(energy), 6) AS r2 FROM valid
+WHERE energy IS NOT NULL AND speechiness IS NOT NULL"""
+
+
+def threshold_metrics(spark, d):
+    rows = valid(spark, d).select(F.col("mode").cast("int").alias("mode"), F.col("liveness").alias("probability_one"))
+    found = metrics.threshold_metrics(rows.where(F.col("mode").isNotNull()), rows.where(F.col("mode").isNull()),
+                                      experiments.MODE_THRESHOLDS)
+    return rounded(found, *[c for c in found.columns if c != "threshold"])
+
+
+_TH = ["accuracy", "f1_macro", "precision_zero", "recall_zero", "predicted_zero_rate_test", "predicted_zero_rate_missing"]
+THRESHOLD_METRICS = f"""WITH {DIRTY}, {VALID},
+th AS (SELECT unnest([CAST(0.5 AS DOUBLE), 0.55, 0.6, 0.65, 0.7]) AS threshold),
+scored AS (SELECT threshold, CAST(mode AS INT) AS t, CAST(liveness >= threshold AS INT) AS p FROM valid, th),
+known AS (SELECT * FROM scored WHERE t IS NOT NULL),
+a AS (SELECT threshold, avg(CAST(t = p AS INT)) AS accuracy, avg(CAST(t = 0 AS INT)) FILTER (WHERE p = 0) AS precision_zero,
+  avg(CAST(p = 0 AS INT)) FILTER (WHERE t = 0) AS recall_zero, avg(CAST(p = 0 AS INT)) AS predicted_zero_rate_test
+  FROM known GROUP BY threshold),
+b AS (SELECT threshold, avg(CAST(p = 0 AS INT)) AS predicted_zero_rate_missing FROM scored WHERE t IS NULL GROUP BY threshold)
+SELECT threshold, {_rounds(_TH)} FROM a JOIN b USING (threshold) JOIN {_f1_sql('known', 'threshold', 't', 'p')} USING (threshold)"""
+
+
+def error_weight_summary(spark, d):
+    steps = circle.circular_distance(F.col("true_key"), F.col("predicted_key"))
+    weighted = predicted(spark, d).withColumn("weight", circle.error_weight(steps))
+    return rounded(metrics.weight_summary(weighted, "weight"), "mean", "std")
+
+
+ERROR_WEIGHT_SUMMARY = f"""WITH {PREDICTED}, w AS (SELECT CAST(CASE {_ring('true_key', 'predicted_key')}
+  WHEN 0 THEN 1 WHEN 1 THEN 1.25 WHEN 2 THEN 1.5 WHEN 3 THEN 1.75 ELSE 2 END AS DOUBLE) AS weight FROM pred)
+SELECT min(weight) AS min, max(weight) AS max, round(avg(weight), 6) AS mean, round(stddev_pop(weight), 6) AS std,
+  quantile_cont(weight, 0.5) AS p50, quantile_cont(weight, 0.9) AS p90, quantile_cont(weight, 0.99) AS p99 FROM w"""
+
+# --- decoders: twelve probabilities per order line -----------------------------------
+
+_WEIGHTS = [f"(1 + (l_orderkey * {k + 3} + l_partkey * {2 * k + 1} + l_linenumber * {k * k + 1}) % 97)" for k in range(12)]
+PROBS = f"""{DIRTY}, w AS (SELECT {', '.join(f'{w} AS w{k}' for k, w in enumerate(_WEIGHTS))},
+  {' + '.join(_WEIGHTS)} AS total, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line,
+  CAST(month(l_shipdate) - 1 AS INT) AS true_key FROM lineitem),
+probs AS (SELECT line, true_key, {', '.join(f'w{k} / total AS p{k}' for k in range(12))} FROM w),
+dists AS (SELECT *, {', '.join('(' + ' + '.join(
+    f'p{c} * CAST({min(abs(c - k), 12 - abs(c - k))} AS DOUBLE)' for c in range(12)) + f') AS d{k}' for k in range(12))} FROM probs)"""
+
+
+def scored(spark, d):
+    line = table(spark, d, "lineitem")
+    weights = [1 + (F.col("l_orderkey") * (k + 3) + F.col("l_partkey") * (2 * k + 1)
+                    + F.col("l_linenumber") * (k * k + 1)) % 97 for k in range(12)]
+    named = line.select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line"),
+        (F.month("l_shipdate") - 1).alias("true_key"), *[w.alias(f"w{k}") for k, w in enumerate(weights)])
+    parts = [F.col(f"w{k}") for k in range(12)]
+    total = sum(parts[1:], parts[0])
+    return named.withColumn("total", total).select(
+        "line", "true_key", F.array(*[w / F.col("total") for w in parts]).alias("probs"))
+
+
+def _first(values, wanted):
+    return "CASE " + " ".join(f"WHEN {v} = {wanted} THEN {k}" for k, v in enumerate(values)) + " END"
+
+
+_P, _D = [f"p{k}" for k in range(12)], [f"d{k}" for k in range(12)]
+_BEST = f"greatest({', '.join(_P)})"
+_ARGMAX = _first(_P, _BEST)
+_MIN_D = _first(_D, f"least({', '.join(_D)})")
+
+
+def _top_k_sql(k):
+    """Class with the least (distance, class) among the k most probable, per line."""
+    cells = ", ".join(f"{{'neg': -p{c}, 'c': {c}, 'd': d{c}}}" for c in range(12))
+    return f"list_sort([(x.d, x.c) FOR x IN list_slice(list_sort([{cells}]), 1, {k})])[1][2]"
+
+
+def decoded_keys(spark, d):
+    ranked, expected = F.col("ranked"), F.col("expected")
+    found = decode.with_ranking(scored(spark, d)).withColumn("gated", decode.gated_top_k(ranked, 0.12, 3))
+    return found.select(
+        "line", decode.argmax(F.col("probs")).alias("argmax"),
+        decode.min_expected_distance(expected).alias("min_distance"),
+        decode.top_k_min_expected_distance(ranked, 3).alias("top3"), "gated",
+        F.round(decode.confidence(ranked), 6).alias("confidence"),
+        F.round(decode.expected_distance_of(expected, F.col("gated")), 6).alias("expected_distance")).distinct()
+
+
+DECODED_KEYS = f"""WITH {PROBS}, dec AS (SELECT *, {_ARGMAX} AS argmax, {_MIN_D} AS min_distance,
+  CAST({_top_k_sql(3)} AS INT) AS top3, {_BEST} AS confidence FROM dists),
+gate AS (SELECT *, CASE WHEN confidence < 0.12 THEN top3 ELSE argmax END AS gated FROM dec)
+SELECT DISTINCT line, argmax, min_distance, top3, gated, round(confidence, 6) AS confidence,
+  round(list_extract([{', '.join(_D)}], gated + 1), 6) AS expected_distance FROM gate"""
+
+
+def decoder_comparison(spark, d):
+    return rounded(experiments.decoder_comparison(scored(spark, d)), *_KEY_COLUMNS)
+
+
+DECODER_COMPARISON = f"""WITH {PROBS}, m AS (SELECT decoder, true_key, predicted_key,
+  {_ring('true_key', 'predicted_key')} AS dist FROM (
+    SELECT 'argmax' AS decoder, true_key, {_ARGMAX} AS predicted_key FROM dists
+    UNION ALL SELECT 'min_expected_distance', true_key, {_MIN_D} FROM dists))
+SELECT decoder, {_rounds(_KEY_COLUMNS)} FROM (SELECT decoder, {_KEY_AGGS} FROM m GROUP BY decoder)
+JOIN {_f1_sql('m', 'decoder')} USING (decoder)"""
+
+
+def _sharpened(spark, d):
+    """Spread-out probabilities to the sixth power, so that the thresholds matter."""
+    sharp = F.transform("probs", lambda p: p * p * p * p * p * p)
+    total = F.aggregate("sharp", F.lit(0.0), lambda a, x: a + x)
+    return scored(spark, d).select("true_key", sharp.alias("sharp")).select(
+        "true_key", F.transform("sharp", lambda x: x / total).alias("probs"))
+
+
+def decoder_sweep(spark, d):
+    return rounded(experiments.decoder_sweep(_sharpened(spark, d)), *_KEY_COLUMNS)
+
+
+_SHARP = [f"p{k} * p{k} * p{k} * p{k} * p{k} * p{k}" for k in range(12)]
+DECODER_SWEEP = f"""WITH {PROBS.split('dists AS')[0]}sharp AS (SELECT true_key, {', '.join(f'{e} AS s{k}' for k, e in enumerate(_SHARP))} FROM probs),
+even AS (SELECT true_key, {', '.join(f's{k} / (' + ' + '.join(f's{c}' for c in range(12)) + f') AS p{k}' for k in range(12))} FROM sharp),
+dists AS (SELECT *, {', '.join('(' + ' + '.join(
+    f'p{c} * CAST({min(abs(c - k), 12 - abs(c - k))} AS DOUBLE)' for c in range(12)) + f') AS d{k}' for k in range(12))} FROM even),
+dec AS (SELECT true_key, {_ARGMAX} AS best, {_BEST} AS conf, {', '.join(
+    f'CAST({_top_k_sql(k)} AS INT) AS top{k}' for k in (2, 3, 4))} FROM dists),
+opts AS (SELECT t AS threshold, k AS top_k FROM (SELECT unnest([CAST(0.35 AS DOUBLE), 0.4, 0.45, 0.5, 0.55, 0.6]) AS t),
+  (SELECT unnest([2, 3, 4]) AS k)),
+m AS (SELECT *, {_ring('true_key', 'predicted_key')} AS dist FROM (
+  SELECT 'argmax' AS decoder, CAST(-1 AS DOUBLE) AS threshold, -1 AS top_k, true_key, best AS predicted_key FROM dec
+  UNION ALL SELECT 'gated_top_k', threshold, top_k, true_key, CASE WHEN conf < threshold THEN
+    CASE top_k WHEN 2 THEN top2 WHEN 3 THEN top3 ELSE top4 END ELSE best END FROM dec, opts))
+SELECT decoder, nullif(threshold, -1) AS threshold, nullif(top_k, -1) AS top_k, {_rounds(_KEY_COLUMNS)} FROM (
+  SELECT decoder, threshold, top_k, {_KEY_AGGS} FROM m GROUP BY decoder, threshold, top_k)
+JOIN {_f1_sql('m', 'decoder, threshold, top_k')} USING (decoder, threshold, top_k)"""
+
+
+# --- splits -----------------------------------------------------------------------
+
+def hold_out(spark, d):
+    rows = splits.folds(splits.hold_out(dirty(spark, d).select("row_id"), "row_id"), "row_id", 5)
+    return rows.select("row_id", "held_out", "fold")
+
+
+HOLD_OUT = f"""WITH {DIRTY} SELECT row_id, {hash32_sql('row_id')} % 10000 < 2000 AS held_out,
+CAST({hash32_sql('row_id')} % 5 AS INT) AS fold FROM dirty"""
+
+
+def stratified_hold_out(spark, d):
+    rows = dirty(spark, d).where(F.col("key").isNotNull()).select("row_id", "key")
+    return splits.stratified_hold_out(rows, "key", "row_id")
+
+
+STRATIFIED_HOLD_OUT = f"""WITH {DIRTY}, r AS (SELECT row_id, key, row_number() OVER (PARTITION BY key ORDER BY
+  {hash32_sql('row_id')}, row_id) AS rn, count(*) OVER (PARTITION BY key) AS n FROM dirty WHERE key IS NOT NULL)
+SELECT row_id, key, rn <= round(n * CAST(0.2 AS DOUBLE)) AS held_out FROM r"""
+
+
+def sampled_rows(spark, d):
+    """A sample of a fixed size: the size is the feature."""
+    rows = dirty(spark, d).select("row_id", "mode")
+    return splits.sample_rows(rows, "row_id", 2500)
+
+
+SAMPLED_ROWS = f"""WITH {DIRTY} SELECT row_id, mode FROM dirty ORDER BY {hash32_sql('row_id')}, row_id LIMIT 2500"""
+
+
+def stratified_sample(spark, d):
+    rows = dirty(spark, d).where(F.col("key").isNotNull()).select("row_id", "key")
+    return splits.stratified_sample(rows, "key", "row_id", 2000)
+
+
+STRATIFIED_SAMPLE = f"""WITH {DIRTY}, r AS (SELECT row_id, key, row_number() OVER (PARTITION BY key ORDER BY
+  {hash32_sql('row_id')}, row_id) AS rn, count(*) OVER (PARTITION BY key) AS n, count(*) OVER () AS total
+  FROM dirty WHERE key IS NOT NULL)
+SELECT row_id, key FROM r WHERE rn <= round(n * CAST(2000 AS DOUBLE) / total)"""
+
+
+def observed_and_missing(spark, d):
+    observed, missing = splits.split_observed(flagged(spark, d), "mode", "mode_missing")
+    return observed.select(F.lit("observed").alias("side"), "row_id").unionByName(
+        missing.select(F.lit("missing").alias("side"), "row_id")).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
+
+
+OBSERVED_AND_MISSING = f"""WITH {DIRTY} SELECT CASE WHEN mode IS NULL THEN 'missing' ELSE 'observed' END AS side,
+count(*) AS rows FROM dirty GROUP BY 1"""
+
+# --- fitted models over all order lines: trees are not SQL -------------------------------
+
+FEW = impute.TreeParams(rounds=2, depth=3, max_bins=16)
+FEW_STEPS = softboost.LinearParams(5)
+FEW_BOOST = softboost.BoostParams(rounds=1, depth=3, max_bins=16)
+SMALL_FEATURES = ["valence", "loudness", "danceability", "energy", "liveness", "speechiness", "valence_missing",
+                  "energy_missing", "speechiness_missing"]
+
+
+def _table(spark, d):
+    return cut_lineage(clean.add_missing_flags(valid(spark, d)))
+
+
+def _report(done):
+    return done.metrics.unpivot([], done.metrics.columns, "metric", "value").unionByName(
+        done.counts.select(*[F.col(c).cast("double") for c in done.counts.columns]).unpivot(
+            [], done.counts.columns, "metric", "value"))
+
+
+def regression_imputation(spark, d):
+    return impute.impute_regression(_table(spark, d), impute.targets()["energy"], "row_id", FEW).table.select(
+        "row_id", "energy")
+
+
+def tempo_imputation(spark, d):
+    return _report(impute.impute_tempo(_table(spark, d), "row_id", FEW))
+
+
+def diagnostics_fit(spark, d):
+    params = impute.TreeParams(**{**impute.DIAGNOSTIC_PARAMS.__dict__, "rounds": 2, "depth": 4})
+    return _report(impute.impute_regression(_table(spark, d), impute.targets()["acousticness"], "row_id", params))
+
+
+def mode_imputation(spark, d):
+    return impute.impute_classification(_table(spark, d), impute.targets()["mode"], "row_id", FEW).table.select(
+        "row_id", "mode")
+
+
+def key_forest_imputation(spark, d):
+    return _report(impute.impute_classification(_table(spark, d), impute.targets()["key"], "row_id", FEW))
+
+
+def key_soft_imputation(spark, d):
+    return softboost.impute_key(_table(spark, d), "row_id", FEW_BOOST, features=SMALL_FEATURES).table.select(
+        "row_id", "key")
+
+
+def key_linear_imputation(spark, d):
+    return _report(softboost.impute_key(_table(spark, d), "row_id", FEW_STEPS, features=SMALL_FEATURES))
+
+
+def joint_key_mode_imputation(spark, d):
+    return softboost.impute_joint(_table(spark, d), "row_id", FEW_STEPS, features=SMALL_FEATURES).metrics
+
+
+def xyz_imputation(spark, d):
+    return _report(impute.impute_key_mode_xyz(_table(spark, d), "row_id", FEW))
+
+
+def cross_validation(spark, d):
+    return impute.cross_validate(_table(spark, d), impute.targets()["energy"], "row_id", 3, FEW)
+
+
+def gated_key_imputation(spark, d):
+    return experiments.gated_key_imputation(_table(spark, d), "row_id", FEW, SMALL_FEATURES)[1]
+
+
+def error_weighted_experiment(spark, d):
+    return experiments.error_weighted_experiment(_table(spark, d), "row_id", FEW, 2, features=SMALL_FEATURES)[0]
+
+
+def mode_analysis(spark, d):
+    return experiments.mode_analysis(_table(spark, d), "row_id", FEW)
+
+
+def geometric_grid(spark, d):
+    return experiments.geometric_grid(_table(spark, d), "row_id", [0.2], [1.0], FEW_STEPS, features=SMALL_FEATURES)
+
+
+def geometric_variants(spark, d):
+    return experiments.geometric_variants(_table(spark, d), "row_id", ["fifths"], ["gaussian_linear"], [0.4], [2.0], FEW_STEPS,
+                                          features=SMALL_FEATURES)
+
+
+def geometric_folds(spark, d):
+    return experiments.geometric_folds(_table(spark, d), "row_id", 2, FEW_STEPS, features=SMALL_FEATURES)[1]
+
+
+def version_comparison(spark, d):
+    base = _table(spark, d)
+    filled = impute.impute_regression(base, impute.targets()["valence"], "row_id", FEW).table
+    return experiments.compare_versions({"flagged": base, "valence_filled": cut_lineage(filled)}, "mode", "row_id", FEW)[0]
+
+
+QUERIES = {
+    "class_geometry": (class_geometry, CLASS_GEOMETRY),
+    "soft_target_mass": (soft_target_mass, SOFT_TARGET_MASS),
+    "xyz_round_trip": (xyz_round_trip, XYZ_ROUND_TRIP),
+    "key_metrics": (key_metrics, KEY_METRICS),
+    "key_mode_metrics": (key_mode_metrics, KEY_MODE_METRICS),
+    "regression_metrics": (regression_metrics, REGRESSION_METRICS),
+    "threshold_metrics": (threshold_metrics, THRESHOLD_METRICS),
+    "error_weight_summary": (error_weight_summary, ERROR_WEIGHT_SUMMARY),
+    "decoded_keys": (decoded_keys, DECODED_KEYS),
+    "decoder_comparison": (decoder_comparison, DECODER_COMPARISON),
+    "decoder_sweep": (decoder_sweep, DECODER_SWEEP),
+    "hold_out": (hold_out, HOLD_OUT),
+    "stratified_hold_out": (stratified_hold_out, STRATIFIED_HOLD_OUT),
+    "sampled_rows": (sampled_rows, SAMPLED_ROWS),
+    "stratified_sample": (stratified_sample, STRATIFIED_SAMPLE),
+    "observed_and_missing": (observed_and_missing, OBSERVED_AND_MISSING),
+    **{f.__name__: (f, None) for f in (
+        regression_imputation, tempo_imputation, diagnostics_fit, mode_imputation, key_forest_imputation,
+        key_soft_imputation, key_linear_imputation, joint_key_mode_imputation, xyz_imputation, cross_validation,
+        gated_key_imputation, error_weighted_experiment, mode_analysis, geometric_grid, geometric_variants,
+        geometric_folds, version_comparison)},
+}

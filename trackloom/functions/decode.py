@@ -1,6 +1,6 @@
 """Decoding of class-probability arrays (``array<double>``, class id = index)."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import circle
@@ -35,38 +35,45 @@ def expected_distances(p: Column, distances: list[list[float]]) -> Column:
     ])
 
 
-def min_expected_distance(p: Column, distances: list[list[float]] | None = None) -> Column:
-    return argmin(expected_distances(p, distances or circle.distance_matrix("steps")))
+def with_ranking(df: DataFrame, probs: str = "probs", distances: list[list[float]] | None = None) -> DataFrame:
+    """Add what the distance-aware decoders below read: ``expected`` (expected
+    distance per class) and ``ranked`` (classes by falling probability; equal
+    ones by class). Two steps, so that each is computed once per row however
+    many decoders use it.
+    """
+    distances = distances or circle.distance_matrix("steps")
+    p, expected = F.col(probs), F.col("expected")
+    ranked = F.sort_array(F.array(*[
+        F.struct((-p[c]).alias("neg"), F.lit(c).alias("cls"), expected[c].alias("d")) for c in range(len(distances))]))
+    return df.withColumn("expected", expected_distances(p, distances)).withColumn("ranked", ranked)
 
 
-def top_k_min_expected_distance(p: Column, k: int, distances: list[list[float]] | None = None) -> Column:
-    """Smallest expected distance among the ``k`` most probable classes.
+def min_expected_distance(expected: Column) -> Column:
+    return argmin(expected)
 
-    Equal probabilities, and equal expected distances, go to the lower class.
-    """
-    if k <= 1:
-        return argmax(p)
-    distances = distances or circle.distance_matrix("steps")
-    scored = F.transform(
-        F.arrays_zip(p.alias("p"), expected_distances(p, distances).alias("d")),
-        lambda x, i: F.struct((-x["p"]).alias("neg"), i.alias("cls"), x["d"].alias("d")),
-    )
-    likely = F.slice(F.sort_array(scored), 1, k)
-    best = F.array_min(F.transform(likely, lambda x: F.struct(x["d"].alias("d"), x["cls"].alias("cls"))))
-    return best["cls"].cast("int")
 
+def most_probable(ranked: Column) -> Column:
+    return ranked[0]["cls"]
 
-def gated_top_k(p: Column, threshold: float | Column, k: int,
-                distances: list[list[float]] | None = None) -> Column:
-    """Top-k decoding for rows less sure than ``threshold``, argmax for the rest."""
-    gate = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    return F.when(F.array_max(p) < gate, top_k_min_expected_distance(p, k, distances)).otherwise(argmax(p))
 
+def confidence(ranked: Column) -> Column:
+    return -ranked[0]["neg"]
 
-def confidence(p: Column) -> Column:
-    return F.array_max(p)
+
+def top_k_min_expected_distance(ranked: Column, k: int) -> Column:
+    """Smallest expected distance among the ``k`` most probable classes; equal
+    distances go to the lower class."""
+    if k <= 1:
+        return most_probable(ranked)
+    return F.array_min(F.array(*[
+        F.struct(ranked[i]["d"].alias("d"), ranked[i]["cls"].alias("cls")) for i in range(k)]))["cls"]
+
+
+def gated_top_k(ranked: Column, threshold: float, k: int) -> Column:
+    """Top-k decoding for rows less sure than ``threshold``, argmax for the rest."""
+    return F.when(confidence(ranked) < threshold, top_k_min_expected_distance(ranked, k)).otherwise(
+        most_probable(ranked))
 
 
-def expected_distance_of(p: Column, chosen: Column, distances: list[list[float]] | None = None) -> Column:
-    table = expected_distances(p, distances or circle.distance_matrix("steps"))
-    return F.element_at(table, chosen.cast("int") + 1)
+def expected_distance_of(expected: Column, chosen: Column) -> Column:
+    return F.element_at(expected, chosen + 1)

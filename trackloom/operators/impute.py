@@ -13,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import circle
@@ -118,8 +118,7 @@ def fit_classifier(train: DataFrame, label: str, params: TreeParams, weight: str
     """Boosted trees for two classes; Spark's boosting is binary only, so more
     classes get a random forest (or the soft-target boosting)."""
     extra = {"weightCol": weight} if weight else {}
-    names = {"labelCol": label, "predictionCol": "prediction", "probabilityCol": "probability",
-             "rawPredictionCol": "raw"}
+    names = {"labelCol": label, "predictionCol": "prediction"}
     if (classes or 2) > 2:
         return RandomForestClassifier(numTrees=params.rounds, **names, **extra, **_common(params)).fit(train)
     return GBTClassifier(maxIter=params.rounds, stepSize=params.step, **names, **extra, **_common(params)).fit(train)
@@ -128,7 +127,7 @@ def fit_classifier(train: DataFrame, label: str, params: TreeParams, weight: str
 def probabilities(model: Model, df: DataFrame, out: str = "probs") -> DataFrame:
     """Class probabilities as an array column."""
     scored = model.transform(df)
-    return scored.withColumn(out, vector_to_array("probability")).drop("raw", "probability", "prediction")
+    return scored.withColumn(out, vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
 
 
 @dataclass(frozen=True)
@@ -220,8 +219,9 @@ def impute_key_mode_xyz(df: DataFrame, key: str, params: TreeParams = TreeParams
 def together(tasks: list, parallelism: int = 4) -> list:
     """Run independent fits at the same time; each is a chain of small Spark jobs
     that leaves most of a cluster idle on its own."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(parallelism) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
 
 def cross_validate(df: DataFrame, target: Target, key: str, k: int = 5, params: TreeParams = TreeParams(),

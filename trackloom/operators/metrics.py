@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from trackloom.functions import circle
 
 
-def confusion(df: DataFrame, true: list[str], predicted: list[str], by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or []), *true, *predicted).agg(F.count(F.lit(1)).alias("n"))
+def confusion(df: DataFrame, true: list[str], predicted: list[str], by: list[str] | None = None,
+              rows: str | None = None) -> DataFrame:
+    """Counts per (true, predicted); ``rows`` names a column of counts to sum."""
+    counted = F.sum(rows) if rows else F.count(F.lit(1))
+    return df.groupBy(*(by or []), *true, *predicted).agg(counted.alias("n"))
 
 
 def _mean(value: Column) -> Column:
@@ -68,10 +71,11 @@ def class_metrics(df: DataFrame, true: str, predicted: str, by: list[str] | None
 
 
 def key_metrics(df: DataFrame, true: str = "true_key", predicted: str = "predicted_key",
-                by: list[str] | None = None, ordering: str = "chromatic", planar: bool = False) -> DataFrame:
+                by: list[str] | None = None, ordering: str = "chromatic", planar: bool = False,
+                rows: str | None = None) -> DataFrame:
     """Accuracy, macro F1 and circular distances; ``planar`` adds chord lengths."""
     by = by or []
-    counts = confusion(df, [true], [predicted], by)
+    counts = confusion(df, [true], [predicted], by, rows)
     distance = circle.circular_distance(F.col(true), F.col(predicted))
     columns = [_share(F.col(true) == F.col(predicted)).alias("accuracy"), *_distance_columns(distance)]
     if planar:

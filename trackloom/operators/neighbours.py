@@ -156,6 +156,7 @@ def _group_hits(groups: DataFrame, n: int, k: int, block_rows: int, max_pivots:
                              "other": right["ids"].to_numpy()[cols]})
 
     routed = data.join(routes, ["to_cell", "to_block"])
+    routed = routed.select(*[F.col(c).alias(c) for c in routed.columns])  # keys of its own for the cogroup
     far = visits.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(
         across, f"rid {id_type}, cosine double, other array<{id_type}>")
     return local.select("rid", F.expr(exploded)).unionByName(far)

@@ -56,7 +56,7 @@ def consolidate(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def impute_all(flagged: DataFrame, key: str, params: impute.TreeParams = impute.TreeParams(),
-               boost: softboost.BoostParams | None = softboost.BoostParams(),
+               boost: softboost.BoostParams | softboost.LinearParams = softboost.BoostParams(),
                order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Impute one target after the other, each from the table the last one left.
 
