@@ -165,46 +165,44 @@ def min_max(c: Column) -> Column:
     return F.when(high == low, 0.0).otherwise((c - low) / (high - low))
 
 
+def _mean_abs_correlations(df: DataFrame) -> DataFrame:
+    """(target, mean absolute correlation with the other regression targets)."""
+    pairs = [(a, b) for i, a in enumerate(REGRESSION_TARGETS) for b in REGRESSION_TARGETS[i + 1:]]
+    points = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
+                       for a, b in pairs])
+    found = (
+        df.select(F.explode(points).alias("p")).select("p.*")
+        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .groupBy("a", "b").agg(F.abs(F.corr("x", "y")).alias("r")))
+    return found.where(~F.isnan("r")).select(F.explode(F.array("a", "b")).alias("target"), "r").groupBy("target").agg(
+        F.avg("r").alias("mean_abs_corr_with_other_regression_targets"))
+
+
 def target_priority(df: DataFrame) -> DataFrame:
     """Heuristic order in which to impute the ten targets.
 
-    One aggregate over the table gives all counts and the 28 pairwise
-    correlations; the rest works on its ten rows.
+    One pass counts missing targets by how many features a row has, at most
+    twelve rows; another gives the 28 pairwise correlations, a grouped aggregate
+    that shrinks to 28 rows per task. The rest works on those small tables.
     """
     others = len(MODELLED_COLUMNS) - 1
-    counted = df.select(*MODELLED_COLUMNS).withColumn("_present", non_null_count(MODELLED_COLUMNS))
-    pairs = [(a, b) for i, a in enumerate(REGRESSION_TARGETS) for b in REGRESSION_TARGETS[i + 1:]]
-
-    def on_missing(t):
-        return F.when(F.col(t).isNull(), F.col("_present"))
-
     targets = REGRESSION_TARGETS + CLASS_TARGETS
-    facts = counted.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(on_missing(t)).alias(f"missing_{t}") for t in targets],
-        *[F.avg(on_missing(t) / others).alias(f"avg_{t}") for t in targets],
-        # at most twelve distinct values, so the buffer stays tiny
-        *[F.percentile(on_missing(t) / others, 0.5).alias(f"median_{t}") for t in targets],
-        *[F.count_if(on_missing(t) == 0).alias(f"zero_{t}") for t in targets],
-        *[F.abs(F.corr(a, b)).alias(f"corr_{a}_{b}") for a, b in pairs])
-
-    def mean_corr(t):
-        if t not in REGRESSION_TARGETS:
-            return F.lit(None).cast("double")
-        mine = F.filter(F.array(*[F.col(f"corr_{a}_{b}") for a, b in pairs if t in (a, b)]),
-                        lambda x: x.isNotNull() & ~F.isnan(x))
-        return F.try_divide(F.aggregate(mine, F.lit(0.0), lambda acc, x: acc + x), F.size(mine))
-
-    rows = F.array(*[F.struct(
-        F.lit(t).alias("target"),
-        F.lit("regression" if t in REGRESSION_TARGETS else "classification").alias("target_type"),
-        F.col(f"missing_{t}").alias("missing_count"),
-        (F.col(f"missing_{t}") / F.col("rows")).alias("missing_pct"),
-        F.coalesce(f"avg_{t}", F.lit(1.0)).alias("avg_non_null_fraction_on_missing_rows"),
-        F.coalesce(f"median_{t}", F.lit(1.0)).alias("median_non_null_fraction_on_missing_rows"),
-        F.col(f"zero_{t}").alias("zero_signal_missing_rows"),
-        mean_corr(t).alias("mean_abs_corr_with_other_regression_targets")) for t in targets])
-    table = facts.select(F.explode(rows).alias("r")).select("r.*")
+    by_present = df.groupBy(non_null_count(MODELLED_COLUMNS).alias("present")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(t).isNull()).alias(t) for t in targets])
+    cells = by_present.select("present", "n", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.col(t).alias("missing")) for t in targets])).alias("x")).select(
+        "present", "n", "x.*")
+    share = F.col("present") / others
+    facts = cells.groupBy("target").agg(
+        F.sum("missing").alias("missing_count"),
+        (F.sum("missing") / F.sum("n")).alias("missing_pct"),
+        F.coalesce(F.try_divide(F.sum(share * F.col("missing")), F.sum("missing")), F.lit(1.0)).alias(
+            "avg_non_null_fraction_on_missing_rows"),
+        F.coalesce(F.percentile(share, 0.5, F.col("missing")), F.lit(1.0)).alias(
+            "median_non_null_fraction_on_missing_rows"),
+        F.coalesce(F.sum(F.when(F.col("present") == 0, F.col("missing"))), F.lit(0)).alias("zero_signal_missing_rows"))
+    kind = F.when(F.col("target").isin(REGRESSION_TARGETS), "regression").otherwise("classification")
+    table = facts.join(_mean_abs_correlations(df), "target", "left").withColumn("target_type", kind)
     scored = table.withColumns({
         "readiness_score": 0.6 * min_max(F.col("avg_non_null_fraction_on_missing_rows"))
         + 0.4 * (1 - min_max(F.col("zero_signal_missing_rows"))),

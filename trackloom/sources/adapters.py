@@ -4,10 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.schemas import NEIGHBOURS_PER_SONG, RAW_TRACK_COLUMNS
+from trackloom.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def dirty_tracks(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 
 from trackloom.operators import clean
 from trackloom.schemas import CATALOGUE_SOURCE, GRAPH_LOAD_LIMIT, SEED, SIMILAR_WIDE, SONG_NEIGHBOURS, SONGS
+from trackloom.session import spread
 
 FORMATS = ["parquet", "csv", "json", "orc"]
 
@@ -30,7 +31,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
         if problem.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"{fmt} path does not exist: {path}") from problem
         raise RuntimeError(f"Failed to load dataset from {path}: {problem}") from problem
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns) if columns else df)
 
 
 def load_tracks(spark: SparkSession, path: str | None = None, fmt: str = "csv", table: str | None = None,
