@@ -1,6 +1,6 @@
 """Catalogue loading and integrity queries."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -162,7 +162,7 @@ gone AS (SELECT song_id FROM wanted WHERE song_id NOT IN (SELECT song_id FROM re
 
 def _loaded(spark, d, engine):
     """Write sources as files, run the load, read the stored copy back."""
-    folder = tempfile.mkdtemp(dir=shared_folder(spark)) if "://" not in shared_folder(spark) else shared_folder(spark)
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     songs_path, wide_path = f"{folder}/songs", f"{folder}/similar"
     io.write_table(catalogue_source(spark, d), songs_path)
     similar_wide(spark, d).write.mode("overwrite").option("header", True).csv(wide_path)

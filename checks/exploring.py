@@ -15,13 +15,13 @@ CAP = 40
 
 ID_REQUESTS = """requests AS (SELECT event_id AS request_id,
   CAST(event_id * 7 % ((SELECT count(*) FROM part) + 50) AS VARCHAR) AS song_id FROM events)"""
-PREFIXES = """requests AS (SELECT row_number() OVER (ORDER BY query) AS request_id, query FROM (
+PREFIXES = """requests AS (SELECT md5(query) AS request_id, query FROM (
   SELECT DISTINCT substr(p_name, 1, 4) AS query FROM part UNION SELECT DISTINCT substr(p_name, 1, 1) FROM part
   UNION SELECT DISTINCT ' ' || upper(p_name) || ' ' FROM part UNION SELECT '  ' UNION SELECT '%' UNION SELECT 'a_'))"""
-ARTISTS = """requests AS (SELECT row_number() OVER (ORDER BY query) AS request_id, query FROM (
+ARTISTS = """requests AS (SELECT md5(query) AS request_id, query FROM (
   SELECT DISTINCT upper(p_brand) AS query FROM part UNION SELECT DISTINCT substr(p_brand, 1, 7) FROM part
   UNION SELECT 'nobody' UNION SELECT ''))"""
-GENRES = """requests AS (SELECT row_number() OVER (ORDER BY query) AS request_id, query FROM (
+GENRES = """requests AS (SELECT md5(query) AS request_id, query FROM (
   SELECT DISTINCT lower(p_type) AS query FROM part UNION SELECT DISTINCT substr(p_type, 1, 2) FROM part
   UNION SELECT 'none'))"""
 
@@ -32,9 +32,8 @@ def id_requests(spark, d):
         F.col("event_id").alias("request_id"), (F.col("event_id") * 7 % (total + 50)).cast("string").alias("song_id"))
 
 
-def _numbered(spark, queries):
-    # A few hundred distinct request texts; numbering them needs one order.
-    return queries.distinct().withColumn("request_id", F.row_number().over(W.partitionBy().orderBy("query")))
+def _numbered(queries):
+    return queries.distinct().withColumn("request_id", F.md5("query"))
 
 
 def _constants(spark, *values):
@@ -44,20 +43,20 @@ def _constants(spark, *values):
 def prefix_requests(spark, d):
     names = table(spark, d, "part").select("p_name")
     name = F.col("p_name")
-    return _numbered(spark, names.select(F.explode(F.array(
+    return _numbered(names.select(F.explode(F.array(
         F.substring(name, 1, 4), F.substring(name, 1, 1),
         F.concat(F.lit(" "), F.upper(name), F.lit(" ")))).alias("query")).unionByName(_constants(spark, "  ", "%", "a_")))
 
 
 def artist_requests(spark, d):
     brand = F.col("p_brand")
-    return _numbered(spark, table(spark, d, "part").select(F.explode(F.array(
+    return _numbered(table(spark, d, "part").select(F.explode(F.array(
         F.upper(brand), F.substring(brand, 1, 7))).alias("query")).unionByName(_constants(spark, "nobody", "")))
 
 
 def genre_requests(spark, d):
     kind = F.col("p_type")
-    return _numbered(spark, table(spark, d, "part").select(F.explode(F.array(
+    return _numbered(table(spark, d, "part").select(F.explode(F.array(
         F.lower(kind), F.substring(kind, 1, 2))).alias("query")).unionByName(_constants(spark, "none")))
 
 
@@ -80,12 +79,12 @@ SEARCH_GENRES = _prefix_sql(GENRES, "(SELECT DISTINCT genre FROM songs)", "genre
 
 
 def mixed_search(spark, d):
-    def of(requests, mode, base):
-        return requests.select((F.col("request_id") + base).alias("request_id"), F.lit(mode).alias("mode"), "query")
+    def of(requests, mode):
+        return requests.select(F.concat_ws(":", F.lit(mode), "request_id").alias("request_id"),
+                               F.lit(mode).alias("mode"), "query")
 
-    asked = of(prefix_requests(spark, d), "song", 0).unionByName(
-        of(artist_requests(spark, d), "artist", 1_000_000)).unionByName(
-        of(genre_requests(spark, d), "genre", 2_000_000))
+    asked = of(prefix_requests(spark, d), "song").unionByName(of(artist_requests(spark, d), "artist")).unionByName(
+        of(genre_requests(spark, d), "genre"))
     return search.search(songs(spark, d), asked)
 
 
@@ -93,9 +92,9 @@ def _nested(sql):
     return f"({sql})"
 
 
-MIXED_SEARCH = f"""SELECT request_id, match_rank, position, song_id, song_name, artist_name, genre FROM {_nested(SEARCH_SONGS)}
-UNION ALL SELECT request_id + 1000000, match_rank, position, NULL, NULL, artist_name, NULL FROM {_nested(SEARCH_ARTISTS)}
-UNION ALL SELECT request_id + 2000000, match_rank, position, NULL, NULL, NULL, genre FROM {_nested(SEARCH_GENRES)}"""
+MIXED_SEARCH = f"""SELECT 'song:' || request_id AS request_id, match_rank, position, song_id, song_name, artist_name, genre FROM {_nested(SEARCH_SONGS)}
+UNION ALL SELECT 'artist:' || request_id, match_rank, position, NULL, NULL, artist_name, NULL FROM {_nested(SEARCH_ARTISTS)}
+UNION ALL SELECT 'genre:' || request_id, match_rank, position, NULL, NULL, NULL, genre FROM {_nested(SEARCH_GENRES)}"""
 
 
 def _per_group(requests, column, order, limit):

@@ -48,7 +48,7 @@ def test_two_casings_are_two_artists_and_the_limit(spark, songs):
 
 def test_search_without_broadcast(spark, songs, monkeypatch):
     before = rows(search.search_songs(songs, asked(spark, "al", "b", "alpha")))
-    monkeypatch.setattr(search, "MAX_BROADCAST_QUESTIONS", 0)
+    monkeypatch.setattr(search, "MAX_BROADCAST_CHARACTERS", 0)
     assert rows(search.search_songs(songs, asked(spark, "al", "b", "alpha"))) == before
 
 

@@ -90,12 +90,13 @@ def _wide_quantiles(df: DataFrame, keys: list[str], value: str, names: dict[floa
         rounded(F.max(F.when(F.col("p") == p, F.col("q")))).alias(name) for p, name in names.items()])
 
 
-def numeric_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """count, mean, sample std, min, quartiles and max of the non-null values."""
+def numeric_summary(df: DataFrame, keys: list[str], value: str, also: tuple[Column, ...] = ()) -> DataFrame:
+    """count, mean, sample std, min, quartiles and max of the non-null values;
+    ``also`` are more aggregates of the same pass."""
     v = F.col(value)
     moments = df.groupBy(*keys).agg(
         F.count(v).alias("count"), rounded(F.avg(v)).alias("mean"), rounded(F.stddev_samp(v)).alias("std"),
-        rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max"))
+        rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max"), *also)
     return moments.join(_wide_quantiles(df, keys, value, dict(zip(QUARTILES, ["p25", "p50", "p75"]))), keys, "left")
 
 
@@ -109,10 +110,9 @@ def numeric_summary_by_flag(df: DataFrame, columns: list[str] | None = None) ->
         return rounded(F.try_divide(F.count_if(bounded & (F.col("value") == of)),
                                     F.nullif(F.count_if(bounded & F.col("value").isNotNull()), F.lit(0))))
 
-    shares = cells.groupBy("feature", "flag").agg(
+    return numeric_summary(cells, ["feature", "flag"], "value", (
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("nulls"),
-        share(0).alias("zero_fraction"), share(1).alias("one_fraction"))
-    return shares.join(numeric_summary(cells, ["feature", "flag"], "value"), ["feature", "flag"])
+        share(0).alias("zero_fraction"), share(1).alias("one_fraction")))
 
 
 def class_distribution_by_flag(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

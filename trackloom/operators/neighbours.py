@@ -79,8 +79,9 @@ def cosine_top_k(df: DataFrame, k: int, id_column: str = "id", vector_column: st
     found = _group_hits(groups.where(~F.col("zero")), facts["groups"], k, block_rows, max_pivots, id_type)
     if facts["zero_groups"]:
         # Everything is at cosine 0 from the zero vector: one extra candidate.
-        nothing = groups.where("zero").select(F.lit(0.0).alias("cosine"), F.col("ids").alias("other"))
-        found = found.unionByName(groups.where(~F.col("zero")).select("rid").join(F.broadcast(nothing)))
+        ids = F.lit(groups.where("zero").select("ids").first()["ids"])  # k + 1 ids
+        found = found.unionByName(groups.where(~F.col("zero")).select(
+            "rid", F.lit(0.0).alias("cosine"), ids.cast(f"array<{id_type}>").alias("other")))
     own = groups.where(~F.col("zero")).select("rid", F.lit(1.0).alias("cosine"), F.col("ids").alias("other"))
     listed = (
         found.unionByName(own)
@@ -97,11 +98,10 @@ def cosine_top_k(df: DataFrame, k: int, id_column: str = "id", vector_column: st
         joined = left_join_salted(copies, lookup, "unit", "_h")
         members = members.unionByName(joined.where(F.col("near").isNotNull()).select("id", "near"))
     if facts["zero_groups"]:
-        lowest = rows.select("id").orderBy("id").limit(k + 1).agg(F.sort_array(F.collect_list("id")).alias("low"))
-        near = F.transform("low", lambda t, i: F.struct(
-            (i + 1).alias("at"), F.lit(0.0).alias("cosine"), t.alias("target")))
-        zero_near = lowest.select(near.alias("near"))
-        members = members.unionByName(rows.where("zero").select("id").join(F.broadcast(zero_near)))
+        lowest = [r["id"] for r in rows.select("id").orderBy("id").limit(k + 1).collect()]
+        near = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(0.0).alias("cosine"),
+                                  F.lit(t).cast(id_type).alias("target")) for at, t in enumerate(lowest, 1)])
+        members = members.unionByName(rows.where("zero").select("id", near.alias("near")))
 
     others = F.slice(F.filter("near", lambda x: x["target"] != F.col("id")), 1, k)
     return members.select(F.col("id").alias("source"), F.posexplode(others).alias("pos", "hit")).select(

@@ -31,9 +31,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     if present.count() <= in_task_rows:
         levels = F.array(*[F.lit(float(p)) for p in probs])
-        grouped = present.groupBy(*keys).agg(F.percentile("v", levels).alias("q"))
+        counts = present.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+        grouped = counts.groupBy(*keys).agg(F.percentile("v", levels, F.col("c")).alias("q"))
         return grouped.select(*keys, F.explode(F.arrays_zip(levels.alias("p"), F.col("q"))).alias("x")).select(
             *keys, "x.p", "x.q")
+    if not keys:
+        return _by_slices(present.withColumn("_all", F.lit(1)), ["_all"], probs, thin).drop("_all")
     return _by_slices(present, keys, probs, thin)
 
 
@@ -50,18 +53,16 @@ def _by_slices(present: DataFrame, keys: list[str], probs: list[float], thin: in
     slices = {target: spans[target[:-1]] for target in wanted}
 
     key_types = ", ".join(f"{k} {present.schema[k].dataType.simpleString()}" for k in keys)
-    head = f"{key_types}, " if keys else ""
 
     def table(picked):
         rows = [(*t, lo, hi, start) for t, (lo, hi, start, _d) in picked.items()]
-        return spark.createDataFrame(rows, f"{head}rank bigint, lo double, hi double, start bigint")
+        return spark.createDataFrame(rows, f"{key_types}, rank bigint, lo double, hi double, start bigint")
 
     def holding(picked, cell, measure):
         """For each picked rank the cell of its slice that the rank falls into."""
         ranks = table(picked)
         spans_ = ranks.select(*keys, "lo", "hi", "start").distinct()
-        near = counts.join(F.broadcast(spans_), keys) if keys else counts.join(F.broadcast(spans_))
-        inside = near.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        inside = counts.join(F.broadcast(spans_), keys).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         cells = inside.groupBy(*keys, "lo", "hi", "start", cell.alias("cell")).agg(F.sum("c").alias("c"), *measure)
         upto = F.col("start") + F.sum("c").over(W.partitionBy(*keys, "lo", "hi").orderBy("cell"))
         ends = cells.withColumn("upto", upto).join(F.broadcast(ranks), [*keys, "lo", "hi", "start"])
@@ -85,4 +86,4 @@ def _by_slices(present: DataFrame, keys: list[str], probs: list[float], thin: in
         return low + (high - low) * (position - floor(position))
 
     rows = [(*key, float(p), at(key, p)) for key in sizes for p in probs]
-    return spark.createDataFrame(rows, f"{head}p double, q double")
+    return spark.createDataFrame(rows, f"{key_types}, p double, q double")

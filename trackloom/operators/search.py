@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from trackloom.functions import sampling, text
 from trackloom.schemas import ARTIST_SEED_CAP, GENRE_SEED_SAMPLE, SEARCH_LIMIT, SEED
 
-# Above this many distinct questions they are not broadcast (about 100 MB).
-MAX_BROADCAST_QUESTIONS = 200_000
+# Distinct questions are broadcast up to this many characters in all.
+MAX_BROADCAST_CHARACTERS = 20_000_000
 
 
 def songs_by_id(songs: DataFrame, requests: DataFrame) -> DataFrame:
@@ -69,8 +69,7 @@ def prefix_matches(values: DataFrame, column: str, order: list[str], requests: D
     prefixes = F.array(*[F.when(F.length(lowered) >= r["l"], F.substring(lowered, 1, r["l"]))
                          for r in sorted(lengths)]) if lengths else F.array(F.lit(None).cast("string"))
     keyed = values.withColumn("_q", F.explode(prefixes)).where(F.col("_q").isNotNull())
-    few = sum(r["n"] for r in lengths) <= MAX_BROADCAST_QUESTIONS
-    if few:
+    if sum(r["n"] * (r["l"] + 16) for r in lengths) <= MAX_BROADCAST_CHARACTERS:
         keyed = keyed.join(F.broadcast(questions), "_q", "left_semi")
     rank = F.when(lowered == F.col("_q"), 0).otherwise(1)
     best = _top(keyed.withColumn("match_rank", rank), ["_q"], [F.col(c) for c in ["match_rank", *order]], limit)

@@ -62,6 +62,7 @@ def mark_smallest_hashes(df: DataFrame, labels: list[str], hashed: str, tie: str
                          out: str, bits: int = 32, bucket_bits: int = 16) -> DataFrame:
     """Add boolean ``out``: true for exactly the ``wanted`` smallest hashes per label.
 
+    ``hashed`` is the hash of ``tie``, which is unique per row.
     ``wanted`` is a column over the label's row count ``n``; ``labels`` must have
     few distinct values (classes). Counting hashes in 2**bucket_bits buckets finds
     the bucket where each quota ends; only its rows, about n / 2**bucket_bits, are
@@ -82,6 +83,6 @@ def mark_smallest_hashes(df: DataFrame, labels: list[str], hashed: str, tie: str
         bucketed.join(F.broadcast(edges), [*labels, "_b"]).withColumn("_rank", rank)
         .where(F.col("_rank") == F.col("_room"))
         .select(*labels, F.struct(F.col(hashed).alias("h"), F.col(tie).alias("t")).alias("_cut")))
-    marked = df.join(F.broadcast(cuts), labels, "left") if labels else df.join(F.broadcast(cuts), how="left")
+    marked = df.join(F.broadcast(cuts), labels, "left")
     inside = F.struct(F.col(hashed).alias("h"), F.col(tie).alias("t")) <= F.col("_cut")
     return marked.withColumn(out, F.coalesce(inside, F.lit(False))).drop("_cut")

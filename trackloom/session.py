@@ -47,10 +47,14 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only a session that names none
-    (a test) gets a temporary folder, which is then kept in the setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("trackloom.checkpoint.dir", None)
+    """The cluster's ``spark.checkpoint.dir``. Only a local session that names
+    none (a test) gets a temporary folder, which it then keeps."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = named or spark.conf.get("trackloom.checkpoint.dir", None)
     if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("trackloom.checkpoint.dir", folder)
     return folder
