@@ -48,7 +48,7 @@ def test_decoders(spark):
     assert [r[3] for r in got] == list(top)
     assert [r[4] for r in got] == list(gated)
     assert [r[6] for r in got] == pytest.approx(list(p.max(axis=1)))
-    soft = spark.createDataFrame([([1000.0, 1001.0],)], "m array<double>").select(decode.softmax(F.col("m"))).first()[0]
+    soft = spark.createDataFrame([([1000.0, 1001.0],)], "m array<double>").select(decode.softmax(F.col("m"), 2)).first()[0]
     assert soft == pytest.approx([1 / (1 + np.e), np.e / (1 + np.e)])
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from trackloom.functions import circle
 
 
-def softmax(margin: Column) -> Column:
-    top = F.array_max(margin)
-    exps = F.transform(margin, lambda m: F.exp(m - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, e: acc + e)
-    return F.transform(exps, lambda e: e / total)
+def softmax(margin: Column, classes: int) -> Column:
+    """Unrolled: a lambda would work out the maximum and the sum per element,
+    generated code shares them."""
+    exps = [F.exp(margin[c] - F.array_max(margin)) for c in range(classes)]
+    total = sum(exps[1:], exps[0])
+    return F.array(*[e / total for e in exps])
 
 
 def argmax(p: Column) -> Column:
