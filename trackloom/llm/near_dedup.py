@@ -5,8 +5,8 @@ by digest. Each remaining set is hashed once; the hashes fall into BINS bins and
 the least of each bin is its signature value, an empty bin taking the value of
 a full one by optimal densification. ROWS values make a band, and sets that
 share a band share a bucket. A bucket compares its members with one centre, so
-it gives as many candidate pairs as it has members, and further centres follow
-only while some members of the bucket are in other components than its first.
+it gives as many candidate pairs as it has members. Where a bucket then still
+holds several components, its members are compared further (see _finish).
 Every candidate pair is confirmed on full sets.
 """
 
@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import prepare, text_bytes
 from trackloom.session import cut_lineage
 
-BANDS = 25
-ROWS = 5
+# A pair at 0.85 shares no band with probability (1 - 0.85 ** 8) ** 40 < 4e-6; one
+# at 0.5 shares a given band with probability 0.004, which keeps passages that many
+# documents share from filling buckets.
+BANDS = 40
+ROWS = 8
 BINS = BANDS * ROWS
 SHINGLE = 5
 THRESHOLD = 85
@@ -139,15 +142,11 @@ def _confirm(threshold: int):
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            seen, a = None, None
             for x, y in zip(left, right):
-                if x is not seen:
-                    seen, a = x, np.frombuffer(x, np.uint64)
-                b = np.frombuffer(y, np.uint64)
-                both = np.concatenate((a, b))
-                both.sort(kind="stable")
+                both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+                both.sort(kind="stable")  # two sorted runs: a merge
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= threshold * (len(a) + len(b) - shared))
+                keep.append(100 * shared >= threshold * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())],
                                              ["a", "b", "linked"])
 
@@ -186,6 +185,84 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _tokens(batches):
+    for batch in batches:
+        found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        if found:
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.concatenate(found))], ["node", "token"])
+
+
+def _rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """bucket (a shingle), node, n, m: an exact filter for the sets that can link.
+
+    n counts a set's shingles and m those of them that other sets have too. A set
+    with m below the threshold's share of n links with nothing and goes. The
+    others keep their rarest shared shingles, so many that two sets at the
+    threshold have one of them in common (prefix filter).
+    """
+    kind = sets.schema["node"].dataType.simpleString()
+    tokens = cut_lineage(sets.select("node", "shingles").mapInArrow(_tokens, f"node {kind}, token long"))
+    shared = cut_lineage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    least = F.ceil(F.col("n") * threshold / 100)
+    held = (tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+            .withColumn("m", F.size("t").cast("long"))
+            .join(sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")), "node")
+            .where(F.col("m") * 100 >= F.col("n") * threshold))
+    take = (F.col("m") - least + 1).cast("int")
+    return held.select(F.explode(F.slice("t", F.lit(1), take)).alias("x"), "node", "n", "m").select(
+        F.col("x.token").alias("bucket"), "node", "n", "m")
+
+
+def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """bucket, node, n, component, main of the buckets that hold more than one
+    component; main is the one with most members."""
+    placed = cut_lineage(members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = shares.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("k"))
+    main = cut_lineage(main.where("k > 1").select("bucket", F.col("m.component").alias("main")))
+    return placed.join(main, "bucket")
+
+
+def _finish(members: DataFrame, tried: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Components after the stars, with every link that the stars missed.
+
+    Members of buckets that still hold several components are dealt anew by
+    their rare shingles, an exact filter that a shared passage does not pass.
+    There, members outside the largest component become centres in turn, some of
+    each bucket at first and more each round, and meet the members of other
+    components, until none is left. Pairs whose sizes, or counts of shingles that
+    others share, rule a link out are not compared.
+    """
+    joined = components(tried.where("linked").select("a", "b"))
+    nodes = cut_lineage(_open(members, joined).select("node").distinct())
+    if nodes.isEmpty():
+        return joined
+    members = cut_lineage(_rare_prefixes(sets.join(nodes, "node"), threshold))
+    done, at_once = members.select("bucket", "node").limit(0), 1024
+    while True:
+        here = cut_lineage(_open(members, joined))
+        loose = here.where("component <> main").join(done, ["bucket", "node"], "left_anti")
+        rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
+        centres = cut_lineage(loose.withColumn("_rank", rank).where(F.col("_rank") <= at_once).drop("_rank"))
+        if centres.isEmpty():
+            return joined
+        others = here.select("bucket", F.col("node").alias("o"), F.col("n").alias("no"), F.col("m").alias("mo"),
+                             F.col("component").alias("co"))
+        most = F.least("m", "mo")
+        size = 100 * most >= threshold * (F.col("n") + F.col("no") - most)
+        met = (centres.join(others, "bucket").where((F.col("component") != F.col("co")) & size)
+               .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = cut_lineage(met.join(known, ["a", "b"], "left_anti"))
+        found = cut_lineage(confirmed(fresh, sets, threshold))
+        tried = tried.union(found)
+        done = done.union(centres.select("bucket", "node"))
+        at_once *= 16
+        if not found.where("linked").isEmpty():
+            joined = components(tried.where("linked").select("a", "b"))
+
+
 def duplicate_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE, bands: int = BANDS,
                      rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
@@ -209,10 +286,7 @@ def duplicate_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = S
     centres = cut_lineage(counted.where("members > 1").select("bucket", "centre"))
     members = cut_lineage(spread.join(centres, "bucket"))
 
-    size = lambda a, b: 100 * F.least(a, b) >= threshold * F.greatest(a, b)
-    sizes = members.where("node = centre").select("bucket", F.col("n").alias("nc"))
-    pairs = cut_lineage(members.where("node <> centre").join(sizes, "bucket").where(size(F.col("n"), F.col("nc")))
-                        .select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
 
     # Sets of documents in buckets of two or more, written once for all rounds.
     candidates = cut_lineage(members.select("node").distinct())
@@ -221,29 +295,7 @@ def duplicate_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = S
     sets = cut_lineage(held.mapInArrow(_setter(width), f"node {kind}, shingles binary"))
 
     tried = cut_lineage(confirmed(pairs, sets, threshold))
-    links = tried.where("linked").select("a", "b")
-    done = centres.select("bucket", F.col("centre").alias("node"))
-    at_once = 1
-    while True:
-        joined = components(links)
-        placed = cut_lineage(members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        main = placed.where("node = centre").select("bucket", F.col("component").alias("main"))
-        loose = cut_lineage(placed.join(main, "bucket").where("component <> main").select("bucket", "node", "n", "component")
-                            .join(done, ["bucket", "node"], "left_anti"))
-        at_once *= 4
-        rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-        next_ones = cut_lineage(loose.withColumn("_rank", rank).where(F.col("_rank") <= at_once).drop("_rank"))
-        if next_ones.isEmpty():
-            break
-        others = placed.select("bucket", F.col("node").alias("o"), F.col("n").alias("no"), F.col("component").alias("co"))
-        more = (next_ones.join(others, "bucket").where(F.col("component") != F.col("co")).where(size(F.col("n"), F.col("no")))
-                .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
-        fresh = cut_lineage(more.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"],
-                                      "left_anti"))
-        outcome = cut_lineage(confirmed(fresh, sets, threshold))
-        tried = tried.union(outcome)
-        links = tried.where("linked").select("a", "b")
-        done = done.union(next_ones.select("bucket", "node"))
+    joined = _finish(members, tried, sets, threshold)
 
     labelled = cut_lineage(groups.join(joined, "node", "left")
                            .select(*digest, F.coalesce("component", "node").alias("component_id")))
