@@ -1,14 +1,28 @@
 """Registered queries of the corpus operators: name -> (query, SQL or None)."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import near_dedup
+from trackloom.llm import byte_bpe, near_dedup, packing, token_counts
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op5_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.digests(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN)
+
+
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.duplicate_groups(_read(spark, folder, "documents"))
 
@@ -42,5 +56,8 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id"""
 
 QUERIES = {
+    "op5_byte_level_bpe": (op5_byte_level_bpe, None),
+    "op6_best_fit_packing": (op6_best_fit_packing, None),
+    "op8_token_counts": (op8_token_counts, None),
     "op7_minhash_near_dedup": (op7_minhash_near_dedup, OP7_SQL),
 }
