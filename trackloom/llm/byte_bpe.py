@@ -23,8 +23,10 @@ from trackloom.llm.common import prepare, texts
 # Distinct chunks that a task holds; beyond that, numbering starts anew.
 REMEMBERED = 1 << 19
 BUCKETS = 1 << 16
-# Around each piece of a word while it is merged; no byte has these letters.
-OPEN, CLOSE = "Ā", "ā"
+# Around the pieces of a word while it is merged; no byte has this letter.
+MARK = "Ā"
+# Rank of neighbours that have none.
+NONE = (1 << 31) - 1
 # Unicode white space.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -50,6 +52,11 @@ def _bound(value: Column, use) -> Column:
 
 
 def encoded(letters: Column, ranks: Column) -> Column:
+    """_encoded, with the literal once in the plan."""
+    return _bound(ranks, lambda held: _encoded(letters, held))
+
+
+def _encoded(letters: Column, ranks: Column) -> Column:
     """Ids of a word given in byte letters: the word itself if it has a rank, else
     its bytes, of which each step merges the neighbours of least rank, all of that
     pair from the left, until no neighbours have a rank."""
@@ -58,23 +65,23 @@ def encoded(letters: Column, ranks: Column) -> Column:
         return F.element_at(F.get(ranks, (F.crc32(x) % BUCKETS).cast("int")), x)
 
     def parts(state: Column) -> Column:
-        return F.split(F.substring(state, F.lit(2), F.length(state) - 2), CLOSE + OPEN)
+        return F.split(F.substring(state, F.lit(2), F.length(state) - 2), MARK)
 
     def best(pieces: Column) -> Column:
-        pairs = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: _bound(
-            rank(F.concat(a, b)), lambda r: F.when(r.isNotNull(), F.struct(r.alias("r"), a.alias("a"), b.alias("b")))))
-        return F.array_min(pairs)
+        return F.array_min(F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: F.struct(
+            F.coalesce(rank(F.concat(a, b)), F.lit(NONE)).alias("r"), a.alias("a"), b.alias("b"))))
 
     def step(held: Column, _: Column) -> Column:
         def merge(pair: Column) -> Column:
-            joined = F.replace(held["s"], F.concat(F.lit(OPEN), pair["a"], F.lit(CLOSE + OPEN), pair["b"], F.lit(CLOSE)),
-                               F.concat(F.lit(OPEN), pair["a"], pair["b"], F.lit(CLOSE)))
-            return F.when(pair.isNull(), F.struct(held["s"].alias("s"), F.lit(True).alias("done"))).otherwise(
+            joined = F.replace(held["s"], F.concat(F.lit(MARK), pair["a"], F.lit(MARK), pair["b"], F.lit(MARK)),
+                               F.concat(F.lit(MARK), pair["a"], pair["b"], F.lit(MARK)))
+            return F.when(pair["r"] == NONE, F.struct(held["s"].alias("s"), F.lit(True).alias("done"))).otherwise(
                 F.struct(joined.alias("s"), F.lit(False).alias("done")))
 
-        return F.when(held["done"], held).otherwise(_bound(_bound(parts(held["s"]), best), merge))
+        return F.when(held["done"], held).otherwise(_bound(best(parts(held["s"])), merge))
 
-    start = F.struct(F.regexp_replace(letters, "(?s)(.)", f"{OPEN}$1{CLOSE}").alias("s"), F.lit(False).alias("done"))
+    start = F.struct(F.concat(F.lit(MARK), F.regexp_replace(letters, "(?s)(.)", f"$1{MARK}")).alias("s"),
+                     F.lit(False).alias("done"))
     merged = F.aggregate(F.sequence(F.lit(1), F.length(letters)), start, step, lambda held: F.transform(parts(held["s"]), rank))
     return _bound(rank(letters), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(merged))
 
