@@ -1,15 +1,111 @@
 """Registered queries of the corpus operators: name -> (query, SQL or None)."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackloom.llm import byte_bpe, near_dedup, packing, token_counts
+import corpus_pipeline
+from trackloom.llm import (byte_bpe, fingerprints, license_scan, near_dedup, packing, pii, quality_rules, secret_scan,
+                           token_counts, url_filters)
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def _joined(spans: Column) -> Column:
+    """kind:start:end of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def _span_digest(found: DataFrame, kinds: list[str]) -> DataFrame:
+    base = F.filter("spans", lambda x: x["kind"].isin(kinds))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
+                        _joined(F.col("spans")).alias("spans"))
+
+
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return _span_digest(secret_scan.scan(_read(spark, folder, "documents")), secret_scan.KINDS)
+
+
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(_read(spark, folder, "documents"))
+
+
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return _span_digest(pii.scan(_read(spark, folder, "documents")), pii.KINDS)
+
+
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(_read(spark, folder, "documents"))
+
+
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judged(_read(spark, folder, "pages"), _read(spark, folder, "labels"))
+
+
+OP10_SQL = r"""
+WITH split AS (
+  SELECT page_id,
+    CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM split),
+known AS (
+  SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad
+  FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+hosts AS (
+  SELECT host, count(bad) AS n, count(*) FILTER (WHERE bad) AS y, list_last(string_split(host, '.')) AS suffix,
+    array_to_string(string_split(host, '.')[-2:], '.') AS domain
+  FROM parts LEFT JOIN known ON page_id = doc_id GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(y)::DOUBLE AS y FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(y) AS y FROM domains GROUP BY suffix),
+levels AS (
+  SELECT 'h' AS level, n::DOUBLE AS n, y::DOUBLE AS y FROM hosts
+  UNION ALL SELECT 'd', n, y FROM domains UNION ALL SELECT 's', n, y FROM suffixes),
+moments AS (
+  SELECT level, sum(n) AS n, sum(y) / sum(n) AS p, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room, count(*) AS g,
+    sum(y * y / n) - sum(y) * sum(y) / sum(n) AS s
+  FROM levels WHERE n > 0 GROUP BY level),
+strengths AS (
+  SELECT level, CASE WHEN p <= 0 OR p >= 1 OR room <= 0 THEN 1
+    ELSE 1 / least(greatest((s / (p * (1 - p)) - (g - 1)) / room, 0.001), 0.999) - 1 END AS k
+  FROM moments),
+k AS (
+  SELECT coalesce(max(k) FILTER (WHERE level = 'h'), 1) AS kh, coalesce(max(k) FILTER (WHERE level = 'd'), 1) AS kd,
+    coalesce(max(k) FILTER (WHERE level = 's'), 1) AS ks,
+    (SELECT coalesce(sum(y) / nullif(sum(n), 0), 0) FROM suffixes) AS share
+  FROM strengths),
+sm AS (SELECT suffix, (y + ks * share) / (n + ks) AS sm FROM suffixes, k),
+dm AS (SELECT domain, (y + kd * sm) / (n + kd) AS dm FROM domains JOIN sm USING (suffix), k),
+hm AS (SELECT host, n, kh, (y + kh * dm) / (n + kh) AS m FROM hosts JOIN dm USING (domain), k),
+low AS (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (n + kh + 1)) > 0.4 AS low FROM hm),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts)
+SELECT page_id, r.host, path, rule, CASE
+  WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block'
+  WHEN rule IS NOT NULL THEN 'allow' WHEN low THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r LEFT JOIN low l ON r.host = l.host"""
+
+
 def op5_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                             public_tokenizers.PATTERN)
@@ -56,8 +152,15 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id"""
 
 QUERIES = {
+    "op1_quality_rules": (op1_quality_rules, None),
+    "op2_secret_scan": (op2_secret_scan, None),
+    "op3_license_scan": (op3_license_scan, None),
+    "op4_pii": (op4_pii, None),
     "op5_byte_level_bpe": (op5_byte_level_bpe, None),
     "op6_best_fit_packing": (op6_best_fit_packing, None),
     "op8_token_counts": (op8_token_counts, None),
     "op7_minhash_near_dedup": (op7_minhash_near_dedup, OP7_SQL),
+    "op9_fingerprints": (op9_fingerprints, None),
+    "op10_url_filters": (op10_url_filters, OP10_SQL),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
