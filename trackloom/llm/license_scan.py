@@ -70,7 +70,8 @@ def places(docs: DataFrame, templates: list[tuple[str, str, bool]], k: int = K,
     split = docs.select(content_key("doc_id", "text").alias("_key"), words_of(F.col("text")).alias("w"))
     rolled = F.when(F.size("w") >= k, F.transform(
         F.sequence(F.lit(0), F.size("w") - k), lambda i: F.concat_ws(" ", *[F.get("w", i + n) for n in range(k)])))
-    rows = split.select("_key", rolled.alias("g")).select("_key", F.posexplode("g").alias("pos", "words"))
+    # The outer form: the inner one would filter on the size of g before its words are split once.
+    rows = split.select("_key", rolled.alias("g")).select("_key", F.posexplode_outer("g").alias("pos", "words"))
     hits = (rows.withColumn("hash", F.xxhash64("words")).join(grams, "hash").where("words = gram")
             .select("_key", "template", "label", "whole", "grams", "at", (F.col("pos") - F.col("at")).alias("diagonal")))
     # Equal rows share a key, so a vote is a distinct template place.

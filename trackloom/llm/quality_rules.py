@@ -64,8 +64,9 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     df = df.select(*names, *done, places.alias("s"))
     covered = F.aggregate(
         F.transform("s", lambda at, k: F.least(F.lit(3), F.coalesce(F.get("s", k + 1), at + 3) - at)), F.lit(0), lambda a, b: a + b)
-    return df.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *done,
-                     F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # A row of one: filters on the statistics stay above it and do not repeat their work.
+    once = F.explode_outer(F.array(F.struct(*done, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))))
+    return df.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], once.alias("_s")).select(*keep, "_s.*")
 
 
 def base_failed() -> Column:
@@ -140,7 +141,7 @@ def _best_condition(counts: dict, names: list[str], cuts: dict[str, list[float]]
     return best
 
 
-def learn_rules(labelled: DataFrame, precision: float = 0.9, max_rules: int = 8, max_conditions: int = 3) -> list[list[Condition]]:
+def learn_rules(labelled: DataFrame, precision: float = 0.8, max_rules: int = 8, max_conditions: int = 3) -> list[list[Condition]]:
     """Decision list for bad rows from a table of statistics with boolean bad and
     a key column. An empty table, or one class alone, gives no rule."""
     columns = features()
