@@ -17,8 +17,9 @@ from trackloom.session import cut_lineage
 K = 3
 # Diagonals so near to each other are one place.
 NEIGHBOURS = 4
-# Share of a long template's k-grams that a place must cover.
-COVERED = 0.6
+# Share of its k-grams that a place must cover of a template with LONG or more;
+# a shorter one must be covered whole.
+COVERED, LONG = 0.6, 16
 
 # Fixed values of the query: phrase, label.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -63,7 +64,7 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str, bool]],
 
 
 def places(docs: DataFrame, templates: list[tuple[str, str, bool]], k: int = K, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """_key (digest of a row's id and text), label, whole, start, end (words), share
+    """_key (digest of a row's id and text), label, whole, start, end (words), grams, share
     of every place where a template was hit: each full diagonal of a template that
     must stand whole, and each group of neighbouring diagonals of the others."""
     grams = F.broadcast(template_grams(docs.sparkSession, templates, k).withColumn("hash", F.xxhash64("gram")))
@@ -80,7 +81,7 @@ def places(docs: DataFrame, templates: list[tuple[str, str, bool]], k: int = K,
     votes = cut_lineage(votes)
     full = votes.where("whole and votes = grams").select(
         "_key", "label", "whole", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("grams") + k - 1).alias("end"),
-        F.lit(1.0).alias("share"))
+        "grams", F.lit(1.0).alias("share"))
     by = W.partitionBy("_key", "template").orderBy("diagonal")
     gap = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > neighbours).cast("int"), F.lit(0))
     grouped = votes.where("not whole").withColumn("gap", gap).withColumn("group", F.sum("gap").over(by))
@@ -88,7 +89,7 @@ def places(docs: DataFrame, templates: list[tuple[str, str, bool]], k: int = K,
         F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("start"),
         F.max(F.col("diagonal") + F.col("high") + k).alias("end"))
     share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"), F.col("grams") / (F.col("end") - F.col("start") - k + 1))
-    return full.unionByName(merged.select("_key", "label", "whole", "start", "end", share.alias("share")))
+    return full.unionByName(merged.select("_key", "label", "whole", "start", "end", "grams", share.alias("share")))
 
 
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES,
@@ -102,7 +103,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: l
     """
     every = [(t, label, True) for t, label in phrases] + [(t, label, False) for t, label in templates]
     found = places(docs, every)
-    good = F.col("whole") | (F.col("share") >= covered)
+    good = F.col("share") >= F.when(F.col("grams") < LONG, 1.0).otherwise(covered)
 
     def labels(which: Column) -> Column:
         return F.array_join(F.sort_array(F.collect_set(F.when(which, F.col("label")))), ",")
