@@ -9,8 +9,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 # Distinct chunks that a task remembers; the store is emptied when it is full.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 _MARK = "\x01"
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class ChunkIds:
@@ -22,37 +23,52 @@ class ChunkIds:
         self._tokenizer.no_padding()
         self._mark = self._tokenizer.encode(_MARK, add_special_tokens=False).ids
         self._ids: dict[bytes, bytes] = {}
+        self._parts: dict[bytes, bytes] = {}
+
+    def _alone(self, chunk: bytes) -> bytes:
+        return np.array(self._tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """Encode new chunks as one text, a mark between them; a chunk that holds
+        """Encode new chunks. Marks that end a chunk after a letter or digit are a
+        pre-token of their own, so what stands before them is encoded once for all
+        chunks that differ only there."""
+        cut = []
+        for chunk in chunks:
+            core = chunk.rstrip(_MARKS)
+            if not core or b"<|" in chunk or core[-1] > 127:
+                core = chunk
+            cut.append((chunk, core, chunk[len(core):]))
+        known = self._parts
+        self._encode({part: None for _, core, tail in cut for part in (core, tail) if part and part not in known})
+        known[b""] = b""
+        for chunk, core, tail in cut:
+            self._ids[chunk] = known[core] + known[tail]
+
+    def _encode(self, parts: dict[bytes, None]) -> None:
+        """Encode many parts as one text with a mark between them; one that holds
         the mark itself is encoded alone."""
-        plain = [c for c in chunks if b"\x01" not in c]
-        for chunk in set(chunks) - set(plain):
-            self._ids[chunk] = np.array(self._tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self._mark) != 1:
-            for chunk in plain:
-                self._ids[chunk] = np.array(self._tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            return
+        plain = [p for p in parts if b"\x01" not in p] if len(self._mark) == 1 else []
+        for part in parts if not plain else parts.keys() - set(plain):
+            self._parts[part] = self._alone(part)
         for start in range(0, len(plain), 512):
             some = plain[start:start + 512]
-            joined = f" {_MARK} ".join([c.decode() for c in some])
+            joined = f" {_MARK} ".join([p.decode() for p in some])
             ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self._mark[0]), len(ids)).tolist()
             raw, at = ids.tobytes(), 0
-            for chunk, end in zip(some, ends, strict=True):
-                self._ids[chunk] = raw[4 * at:4 * end]
+            for part, end in zip(some, ends, strict=True):
+                self._parts[part] = raw[4 * at:4 * end]
                 at = end + 1
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, for a bounded list of texts."""
-        split = [text.split() for text in texts]
+        """Ids of each text, for a bounded list of texts. The vocabulary is of lower
+        case, so A-Z is lowered first, but for texts that may hold special strings."""
+        split = [text.split() if b"<|" in text else text.lower().split() for text in texts]
         if len(self._ids) > REMEMBERED:
             self._ids.clear()
-        known, fresh = self._ids, {}
-        for words in split:
-            for word in words:
-                if word not in known:
-                    fresh[word] = None
+            self._parts.clear()
+        known = self._ids
+        fresh = set().union(*split).difference(known)
         if fresh:
             self._learn(list(fresh))
         return [b"".join(map(known.__getitem__, words)) for words in split]
