@@ -32,17 +32,21 @@ class ChunkIds:
         """Encode new chunks. Marks that end a chunk after a letter or digit are a
         pre-token of their own, so what stands before them is encoded once for all
         chunks that differ only there."""
-        cut = []
+        known, cut, wanted = self._parts, [], {}
         for chunk in chunks:
             core = chunk.rstrip(_MARKS)
-            if not core or b"<|" in chunk or core[-1] > 127:
-                core = chunk
-            cut.append((chunk, core, chunk[len(core):]))
-        known = self._parts
-        self._encode({part: None for _, core, tail in cut for part in (core, tail) if part and part not in known})
+            if len(core) == len(chunk) or b"<|" in chunk or not core[-1:].isalnum():
+                core, tail = chunk, b""
+            else:
+                tail = chunk[len(core):]
+                if tail not in known:
+                    wanted[tail] = None
+            if core not in known:
+                wanted[core] = None
+            cut.append((chunk, core, tail))
+        self._encode(wanted)
         known[b""] = b""
-        for chunk, core, tail in cut:
-            self._ids[chunk] = known[core] + known[tail]
+        self._ids.update([(chunk, known[core] + known[tail] if tail else known[core]) for chunk, core, tail in cut])
 
     def _encode(self, parts: dict[bytes, None]) -> None:
         """Encode many parts as one text with a mark between them; one that holds
