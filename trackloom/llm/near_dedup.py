@@ -194,7 +194,7 @@ def _tokens(batches):
 
 
 def _rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """bucket (a shingle), node, n, m: an exact filter for the sets that can link.
+    """bucket (a shingle), node, n, m, prefix: an exact filter for the sets that can link.
 
     n counts a set's shingles and m those of them that other sets have too. A set
     with m below the threshold's share of n links with nothing and goes. The
@@ -210,8 +210,8 @@ def _rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
             .join(sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")), "node")
             .where(F.col("m") * 100 >= F.col("n") * threshold))
     take = (F.col("m") - least + 1).cast("int")
-    return held.select(F.explode(F.slice("t", F.lit(1), take)).alias("x"), "node", "n", "m").select(
-        F.col("x.token").alias("bucket"), "node", "n", "m")
+    prefix = F.transform(F.slice("t", F.lit(1), take), lambda x: x["token"])
+    return held.select("node", "n", "m", prefix.alias("prefix")).withColumn("bucket", F.explode("prefix"))
 
 
 def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
@@ -248,10 +248,12 @@ def _finish(members: DataFrame, tried: DataFrame, sets: DataFrame, threshold: in
         if centres.isEmpty():
             return joined
         others = here.select("bucket", F.col("node").alias("o"), F.col("n").alias("no"), F.col("m").alias("mo"),
-                             F.col("component").alias("co"))
+                             F.col("component").alias("co"), F.col("prefix").alias("po"))
+        # A pair meets once, at the first shingle that both prefixes have.
+        first = F.get(F.array_intersect("prefix", "po"), F.lit(0)) == F.col("bucket")
         most = F.least("m", "mo")
         size = 100 * most >= threshold * (F.col("n") + F.col("no") - most)
-        met = (centres.join(others, "bucket").where((F.col("component") != F.col("co")) & size)
+        met = (centres.join(others, "bucket").where((F.col("component") != F.col("co")) & size & first)
                .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = cut_lineage(met.join(known, ["a", "b"], "left_anti"))
