@@ -209,7 +209,7 @@ def _rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
             .withColumn("m", F.size("t").cast("long"))
             .join(sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")), "node")
             .where(F.col("m") * 100 >= F.col("n") * threshold))
-    take = (F.col("m") - least + 1).cast("int")
+    take = F.greatest((F.col("m") - least + 1).cast("int"), F.lit(0))
     prefix = F.transform(F.slice("t", F.lit(1), take), lambda x: x["token"])
     return held.select("node", "n", "m", prefix.alias("prefix")).withColumn("bucket", F.explode("prefix"))
 
