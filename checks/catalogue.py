@@ -152,10 +152,17 @@ def sparse_edges(spark, d):
     return edges(spark, d).where((F.col("source_song_id").cast("bigint") % 3 == 0) & (F.col("neighbor_rank") <= 2))
 
 
-DELETED = f"""{CATALOGUE}, wanted AS (SELECT song_id FROM songs WHERE song_id LIKE '%3'),
+DELETED = f"""{CATALOGUE.replace('WITH', 'WITH RECURSIVE', 1)}, wanted AS (SELECT song_id FROM songs WHERE song_id LIKE '%3'),
 sparse AS (SELECT * FROM edges WHERE CAST(source_song_id AS BIGINT) % 3 = 0 AND neighbor_rank <= 2),
-refused AS (SELECT target_song_id AS song_id, count(*) AS incoming_edges FROM sparse
+stay AS (
+  SELECT target_song_id AS song_id FROM sparse
   WHERE source_song_id NOT IN (SELECT song_id FROM wanted) AND target_song_id IN (SELECT song_id FROM wanted)
+  UNION
+  SELECT target_song_id FROM sparse JOIN stay ON source_song_id = stay.song_id
+  WHERE target_song_id IN (SELECT song_id FROM wanted)),
+refused AS (SELECT target_song_id AS song_id, count(*) AS incoming_edges FROM sparse
+  WHERE target_song_id IN (SELECT song_id FROM stay)
+    AND (source_song_id NOT IN (SELECT song_id FROM wanted) OR source_song_id IN (SELECT song_id FROM stay))
   GROUP BY target_song_id),
 gone AS (SELECT song_id FROM wanted WHERE song_id NOT IN (SELECT song_id FROM refused))"""
 

@@ -92,15 +92,23 @@ def sessions_from_arrays(requests: DataFrame) -> tuple[DataFrame, DataFrame, Dat
 
 
 def expand(visible_nodes: DataFrame, visible_edges: DataFrame, selected: DataFrame, songs: DataFrame,
-           edges: DataFrame, cap: int = GRAPH_NODE_CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+           edges: DataFrame, cap: int = GRAPH_NODE_CAP,
+           sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One capped expansion of every session -> (new nodes, new edges, meta).
 
     The three inputs are (session_id, id) tables without repeats. Unseen targets
     are taken in the order of their first (source, rank) up to the free slots;
-    a slot taken by a target that is no song stays empty.
+    a slot taken by a target that is no song stays empty. Every session of the
+    inputs, and of ``sessions`` (session_id) if given, has its row in meta, also
+    when nothing of it is visible.
     """
     visible = visible_nodes.select("session_id", "id")
-    room = visible.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_visible"))
+    named = [visible, visible_edges, selected] + ([sessions] if sessions is not None else [])
+    known = named[0].select("session_id")
+    for more in named[1:]:
+        known = known.union(more.select("session_id"))
+    room = known.distinct().join(
+        visible.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_visible")), "session_id", "left").na.fill(0, ["n_visible"])
     chosen = selected.select("session_id", "id").join(visible, ["session_id", "id"], "left_semi")
     active = chosen.join(room.where(F.col("n_visible") < cap), "session_id")
     reached = active.join(

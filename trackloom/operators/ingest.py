@@ -9,6 +9,7 @@ from trackloom.schemas import (
     ARTIST_NAME_LENGTH, GENRE_LENGTH, NEIGHBOURS_PER_SONG, SIMILAR_COLUMNS,
     SONG_ID_LENGTH, SONG_NAME_LENGTH, UNKNOWN_LABEL,
 )
+from trackloom.session import cut_lineage
 
 
 def _clipped(c: str, length: int) -> Column:
@@ -146,16 +147,21 @@ def delete_songs(songs: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[Da
 
     Returns (songs left, edges left, refused). Deleting a song removes its
     outgoing edges; a song that another, staying song points to is refused and
-    stays with all its edges.
+    stays with all its edges, so that those it points to stay too.
     """
     wanted = ids.select("song_id").distinct()
-    staying_edges = edges.join(wanted.withColumnRenamed("song_id", "source_song_id"), "source_song_id", "left_anti")
+    into = cut_lineage(edges.select("source_song_id", F.col("target_song_id").alias("song_id")).join(wanted, "song_id", "left_semi"))
+    asked = wanted.withColumnRenamed("song_id", "source_song_id")
+    staying = cut_lineage(into.join(asked, "source_song_id", "left_anti").select("song_id").distinct())
+    added = staying
+    while not added.isEmpty():  # as often as the longest chain of links inside what is asked
+        reached = into.join(added.withColumnRenamed("song_id", "source_song_id"), "source_song_id", "left_semi")
+        added = cut_lineage(reached.select("song_id").distinct().join(staying, "song_id", "left_anti"))
+        staying = cut_lineage(staying.union(added))
+    gone = wanted.join(staying, "song_id", "left_anti")
     refused = (
-        staying_edges.groupBy(F.col("target_song_id").alias("song_id"))
-        .agg(F.count(F.lit(1)).alias("incoming_edges"))
-        .join(wanted, "song_id", "left_semi")
-    )
-    gone = wanted.join(refused, "song_id", "left_anti")
+        into.join(gone.withColumnRenamed("song_id", "source_song_id"), "source_song_id", "left_anti")
+        .join(staying, "song_id", "left_semi").groupBy("song_id").agg(F.count(F.lit(1)).alias("incoming_edges")))
     return (
         songs.join(gone, "song_id", "left_anti"),
         edges.join(gone.withColumnRenamed("song_id", "source_song_id"), "source_song_id", "left_anti"),

@@ -103,12 +103,14 @@ def key_mode_metrics(df: DataFrame, true: tuple[str, str] = ("true_key", "true_m
 
 
 def regression_metrics(df: DataFrame, true: str, predicted: str, by: list[str] | None = None) -> DataFrame:
-    """mae, rmse and r2 in one aggregate."""
+    """mae, rmse and r2 in one aggregate. A target without variance has r2 1 if it
+    is met exactly, else 0."""
     error = F.col(true) - F.col(predicted)
+    left, spread = F.avg(error * error), F.var_pop(true)
     return df.groupBy(*(by or [])).agg(
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
-        (1 - F.avg(error * error) / F.var_pop(true)).alias("r2"))
+        F.when(spread > 0, 1 - F.try_divide(left, spread)).when(spread == 0, (left == 0).cast("double")).alias("r2"))
 
 
 def threshold_metrics(scored: DataFrame, missing: DataFrame, thresholds: list[float],

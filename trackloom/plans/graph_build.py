@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import clean, graph
-from trackloom.schemas import GRAPH_MAX_SONGS, GRAPH_SIMILARITY_K
+from trackloom.schemas import GRAPH_SIMILARITY_K
 from trackloom.session import cut_lineage
 
 
@@ -18,7 +18,7 @@ class Graph:
 
 
 def build_graph(tracks: DataFrame, source: str, k: int = GRAPH_SIMILARITY_K,
-                max_songs: int | None = GRAPH_MAX_SONGS, order: list[str] | None = None,
+                max_songs: int | None = None, order: list[str] | None = None,
                 strict: bool = True, **blocking) -> Graph:
     """Clean, name, connect and check. ``order`` gives the input order of tracks.
 

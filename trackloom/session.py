@@ -38,14 +38,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give every core a part of a scan that comes in fewer splits than cores,
-    as one large file with one row group does. A scan with at least a split per
-    core, so any table of cluster size, is left as it is; so is a tiny one."""
-    parallelism = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(parallelism) if 1 < scan.rdd.getNumPartitions() < parallelism else scan
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``. Only a local session that names
     none (a test) gets a temporary folder, which it then keeps."""

@@ -8,8 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from trackloom.operators import clean
-from trackloom.schemas import CATALOGUE_SOURCE, GRAPH_LOAD_LIMIT, SEED, SIMILAR_WIDE, SONG_NEIGHBOURS, SONGS
-from trackloom.session import spread
+from trackloom.schemas import CATALOGUE_SOURCE, SEED, SIMILAR_WIDE, SONG_NEIGHBOURS, SONGS
 
 FORMATS = ["parquet", "csv", "json", "orc"]
 
@@ -17,12 +16,14 @@ FORMATS = ["parquet", "csv", "json", "orc"]
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None,
                columns: list[str] | None = None) -> DataFrame:
     """Scan with an explicit column list. CSV has a header and, without a schema,
-    string columns: types are never guessed from a second pass over the data."""
+    string columns: types are never guessed from a second pass over the data.
+    A quoted CSV field may hold line breaks, so one CSV file is one split: write
+    large tables as many files."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}, expected one of {FORMATS}")
     reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False).option("escape", '"')
+        reader = reader.option("header", True).option("enforceSchema", False).option("escape", '"').option("multiLine", True)
     if schema is not None:
         reader = reader.schema(schema)
     try:
@@ -31,11 +32,11 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
         if problem.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"{fmt} path does not exist: {path}") from problem
         raise RuntimeError(f"Failed to load dataset from {path}: {problem}") from problem
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
 
 
 def load_tracks(spark: SparkSession, path: str | None = None, fmt: str = "csv", table: str | None = None,
-                load_limit: int | None = GRAPH_LOAD_LIMIT, key: str | None = None) -> DataFrame:
+                load_limit: int | None = None, key: str | None = None) -> DataFrame:
     """Graph input from a file, else from a named table, of which a seeded sample
     of ``load_limit`` rows is taken (by ``key``, or by all columns)."""
     if path:
