@@ -5,6 +5,8 @@ sides of it, so a text's ids are those of its blank-separated chunks in a row. A
 task encodes each distinct chunk once and joins the stored ids.
 """
 
+import struct
+
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -49,11 +51,19 @@ class ChunkIds:
         self._ids.update([(chunk, known[core] + known[tail] if tail else known[core]) for chunk, core, tail in cut])
 
     def _encode(self, parts: dict[bytes, None]) -> None:
-        """Encode many parts as one text with a mark between them; one that holds
-        the mark itself is encoded alone."""
-        plain = [p for p in parts if b"\x01" not in p] if len(self._mark) == 1 else []
-        for part in parts if not plain else parts.keys() - set(plain):
-            self._parts[part] = self._alone(part)
+        """Parts of ASCII letters alone are one pre-token each and go straight to the
+        merges. Others are encoded as one text with a mark between them, or alone if
+        they hold the mark themselves."""
+        known, merged, others = self._parts, self._tokenizer.model.tokenize, []
+        for part in parts:
+            if part.isalpha():
+                ids = [t.id for t in merged(part.lower().decode())]
+                known[part] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(part)
+        plain = [p for p in others if b"\x01" not in p] if len(self._mark) == 1 else []
+        for part in others if not plain else set(others) - set(plain):
+            known[part] = self._alone(part)
         for start in range(0, len(plain), 512):
             some = plain[start:start + 512]
             joined = f" {_MARK} ".join([p.decode() for p in some])
@@ -61,7 +71,7 @@ class ChunkIds:
             ends = np.append(np.flatnonzero(ids == self._mark[0]), len(ids)).tolist()
             raw, at = ids.tobytes(), 0
             for part, end in zip(some, ends, strict=True):
-                self._parts[part] = raw[4 * at:4 * end]
+                known[part] = raw[4 * at:4 * end]
                 at = end + 1
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
