@@ -15,17 +15,32 @@ def test_sliced_quantiles_match_numpy(spark, thin):
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("normal", None)],
                                "g string, v double").repartition(5)
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    for limit in (0, 1_000_000):
-        got = {(r["g"], r["p"]): r["q"] for r in quantiles.exact_quantiles(
-            df, ["g"], "v", probs, in_task_rows=limit, thin=thin).collect()}
-        for g, values in groups.items():
-            for p in probs:
-                assert got[(g, p)] == pytest.approx(np.quantile(values, p), rel=1e-12), (g, p)
+    got = {(r["g"], r["p"]): r["q"] for r in quantiles.exact_quantiles(df, ["g"], "v", probs, thin=thin).collect()}
+    for g, values in groups.items():
+        for p in probs:
+            assert got[(g, p)] == pytest.approx(np.quantile(values, p), rel=1e-12), (g, p)
+
+
+@pytest.mark.parametrize("thin", [1, 5])
+def test_quantiles_of_infinities_huge_ranges_and_null_keys(spark, thin):
+    inf = float("inf")
+    groups = {None: [*range(20)], "both": [-inf, -inf, *range(9), inf, inf], "up": [*range(30), inf],
+              "down": [-inf, *range(30)], "huge": [-1.7e308, -1.0, 0.0, 1.0, 2.0, 3.0, 1.7e308],
+              "small": [0.0, 5e-324, 1e-323, 1.5e-323, 1.0], "nan": [1.0, 2.0, float("nan")]}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(3)
+    got = {(r["g"], r["p"]): r["q"] for r in quantiles.exact_quantiles(df, ["g"], "v", [0.0, 0.5, 1.0], thin=thin).collect()}
+    assert len(got) == 3 * len(groups)
+    for g, values in groups.items():
+        ordered = sorted(values, key=lambda v: (v != v, v))
+        assert got[(g, 0.0)] == ordered[0]
+        low, high = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
+        assert got[(g, 0.5)] == (low if low == high else 0.5 * low + 0.5 * high), g
+        assert got[(g, 1.0)] == ordered[-1] or g == "nan"
 
 
 def test_sliced_quantiles_without_groups(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
-    got = quantiles.exact_quantiles(df, [], "v", [0.5, 0.33], in_task_rows=0, thin=3)
+    got = quantiles.exact_quantiles(df, [], "v", [0.5, 0.33], thin=3)
     assert sorted(r["q"] for r in got.collect()) == pytest.approx([33.0, 50.0])
 
 

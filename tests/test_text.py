@@ -36,6 +36,15 @@ def test_primary_artist(spark):
     assert [r[0] for r in arrays.select(text.primary_artist(F.col("v"), kind)).collect()] == ["a", None, None]
 
 
+def test_list_literals(spark):
+    firsts = {"['A'] feat ['B']": "['A'] feat ['B']", "['A',]": "A", "[true]": "[true]", "['A', None]": "A", "[1, 'x']": "1",
+              "['A' , \"it's\"]": "A", "['it\\'s']": "it's", "[None]": "None", "['A'": "['A'", "['a\nb', 'c']": "a\nb", "[,]": "[,]",
+              "['" + "x" * 50_000 + "']": "x" * 50_000, "[" + "'y', " * 20_000 + "]": "y"}
+    got = apply(spark, list(firsts), lambda c: text.primary_artist(c, T.StringType()))
+    assert got == list(firsts.values())
+    assert apply(spark, ["['A', None, 2.5]", "['A'] x ['B']"], text.joined_artists) == ["A; None; 2.5", "'A'] x ['B'"]
+
+
 SLUGS = {"Hello!": "hello", "Hello?": "hello", "Café": "cafe", "Straße": "strae", "\ufb01ne": "fine", "日本": "unknown",
          "": "unknown", "__a__b__": "a_b", "Ångström ½": "angstrom_12", "A-B": "a_b"}
 

@@ -15,10 +15,9 @@ _BLANK = r"[\s\x1c-\x1f]"
 _EDGES = rf"(?U)^{_BLANK}+|{_BLANK}+\z"
 _RUNS = rf"(?U){_BLANK}+"
 
-_LIST_OPTIONS = {
-    "allowSingleQuotes": "true",
-    "allowBackslashEscapingAnyCharacter": "true",
-}
+# An item of a list literal: a quoted text, a plain number, None, True or False.
+_ITEM = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?\d++(?:\.\d++)?+|None|True|False)"""
+_LIST = rf"(?s)\A\[\s*+(?:{_ITEM}\s*+(?:,\s*+{_ITEM}\s*+)*+,?\s*+)?+\]\z"
 
 
 def strip(c: Column) -> Column:
@@ -51,8 +50,18 @@ def artist_track_key(artist: Column, track: Column) -> Column:
 
 
 def parse_list(c: Column) -> Column:
-    """Array of strings from a list literal such as ``['A', "B"]``, else null."""
-    return F.from_json(c, "array<string>", _LIST_OPTIONS)
+    """Array of strings from a list literal such as ``['A', "B"]``, else null.
+
+    The whole text must be one flat list; a comma may follow its last item. Of a
+    backslash and a character the character stays.
+    """
+    items = F.regexp_extract_all(c, F.lit(f"(?s){_ITEM}"), F.lit(0))
+
+    def plain(item: Column) -> Column:
+        quoted = item.startswith("'") | item.startswith('"')
+        return F.when(quoted, F.regexp_replace(_inside(item), r"(?s)\\(.)", "$1")).otherwise(item)
+
+    return F.when(F.regexp_like(c, F.lit(_LIST)), F.transform(items, plain))
 
 
 def primary_artist(c: Column, data_type: T.DataType) -> Column:

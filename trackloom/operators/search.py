@@ -69,8 +69,8 @@ def prefix_matches(values: DataFrame, column: str, order: list[str], requests: D
     prefixes = F.array(*[F.when(F.length(lowered) >= r["l"], F.substring(lowered, 1, r["l"]))
                          for r in sorted(lengths)]) if lengths else F.array(F.lit(None).cast("string"))
     keyed = values.withColumn("_q", F.explode(prefixes)).where(F.col("_q").isNotNull())
-    if sum(r["n"] * (r["l"] + 16) for r in lengths) <= MAX_BROADCAST_CHARACTERS:
-        keyed = keyed.join(F.broadcast(questions), "_q", "left_semi")
+    small = sum(r["n"] * (r["l"] + 16) for r in lengths) <= MAX_BROADCAST_CHARACTERS
+    keyed = keyed.join(F.broadcast(questions) if small else questions, "_q", "left_semi")
     rank = F.when(lowered == F.col("_q"), 0).otherwise(1)
     best = _top(keyed.withColumn("match_rank", rank), ["_q"], [F.col(c) for c in ["match_rank", *order]], limit)
     return asked.join(best, "_q").drop("_q")
