@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     folder = named or spark.conf.get("trackloom.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if context.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("trackloom.checkpoint.dir", folder)
