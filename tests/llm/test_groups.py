@@ -46,6 +46,41 @@ def test_odd_groups(odd_docs, odd_texts, no_docs):
     assert near_dedup.keep_one(odd_docs).columns == odd_docs.columns and near_dedup.keep_one(no_docs).count() == 0
 
 
+def test_pairs_from_080_on(spark):
+    """Without a threshold of its own, a job links pairs from 0.80 on; only the query stays at 0.85."""
+    texts = {}
+    for pair in range(40):
+        words = [f"p{pair}w{k}" for k in range(150)]
+        texts[2 * pair] = " ".join(words)
+        cut = 120 + pair % 10  # 116 of 146 shingles are below 0.80, 117 and more above
+        texts[2 * pair + 1] = " ".join(words[:cut])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    plain = plain_groups(texts, 80)
+    assert 0 < sum(i == head for i, (_, head) in plain.items()) < sum(i == h for i, (_, h) in plain_groups(texts).items())
+    assert found_groups(docs) == plain
+    stay = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert stay == {i for i, (_, head) in plain.items() if i == head}
+
+
+def test_op7_stays_at_085(spark, tmp_path):
+    words = [f"w{k}" for k in range(150)]
+    texts = {1: " ".join(words), 2: " ".join(words[:124])}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op7_minhash_near_dedup(spark, str(tmp_path)).collect()}
+    assert found == plain_groups(texts, 85) != plain_groups(texts, 80)
+
+
+def test_pipeline_at_080(spark):
+    """The whole run with plain groups at 80, which differ here from those at 85."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r["doc_id"] for r in quality_rules.judged(docs, labels).where("kept").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in good}
+    stay = {i for i, (_, head) in plain_groups(texts, 80).items() if i == head}
+    assert stay < {i for i, (_, head) in plain_groups(texts).items() if i == head}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == stay
+
+
 def test_chains_and_shared_passages(spark):
     """Groups whose members link only through others, exact copies, and a passage in many documents."""
     rng = random.Random(9)

@@ -1,7 +1,7 @@
 """Near-duplicate groups: one-permutation MinHash, banded buckets, star edges.
 
 A document's set holds its distinct word shingles. Equal sets collapse first,
-by digest. Each remaining set is hashed once; the hashes fall into BINS bins and
+by digest. Each remaining set is hashed once; the hashes fall into bins, ROWS for each of BANDS bands, and
 the least of each bin is its signature value, an empty bin taking the value of
 a full one by optimal densification. ROWS values make a band, and sets that
 share a band share a bucket. A bucket compares its members with one centre, so
@@ -20,14 +20,13 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import prepare, text_bytes
 from trackloom.session import cut_lineage
 
-# A pair at 0.85 shares no band with probability (1 - 0.85 ** 8) ** 40 < 4e-6; one
-# at 0.5 shares a given band with probability 0.004, which keeps passages that many
+# A pair at 0.80 shares no band with probability (1 - 0.8 ** 7) ** 56 < 2e-6; one
+# at 0.5 shares a given band with probability 0.008, which keeps passages that many
 # documents share from filling buckets.
-BANDS = 40
-ROWS = 8
-BINS = BANDS * ROWS
+BANDS = 56
+ROWS = 7
 SHINGLE = 5
-THRESHOLD = 85
+THRESHOLD = 80
 # Words whose hashes a task remembers; the store is emptied when it is full.
 REMEMBERED = 1 << 20
 
