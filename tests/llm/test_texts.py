@@ -108,6 +108,42 @@ def test_pii_contexts(spark, odd_docs, no_docs):
     assert masked[0]["text"] == "please reach me at <email> today"
 
 
+def test_pii_few_seeds(spark):
+    """Five to thirty seeds prove a context, four do not; unseen instances are no evidence against it; shapes pool seeds."""
+    rows, k, unseen = [], 0, {}
+    for seeds, others in ((4, 1), (5, 1), (20, 1), (30, 1), (6, 6), (10, 60)):
+        rows += [(k + j, f"some words kind{chr(97 + len(unseen))} contact user{k + j}@mail.example.com today") for j in range(seeds)]
+        k += seeds
+        rows += [(k + j, f"some words kind{chr(97 + len(unseen))} contact 77-{k + j}-9911 today") for j in range(others)]
+        unseen[seeds] = range(k, k + others)
+        k += others
+    rows += [(k + j, f"see (ticket{j}: user{k + j}@mail.example.com, then row {j} user{k + j}@mail.example.com") for j in range(5)]
+    k += 5
+    rows += [(k, "see ticket99: 88-1234-99 end"), (k + 1, "one row 99 88-1234-98 end")]
+    found = by_id(pii.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for seeds, ids in unseen.items():
+        assert all([s["kind"] for s in found[i]["spans"]] == ["context"] * (seeds >= pii.SEEDS) for i in ids), seeds
+    assert [s["kind"] for i in (k, k + 1) for s in found[i]["spans"]] == ["context", "context"]
+
+
+def test_pii_fixed_point(spark):
+    """Scores are those that plain rounds tend to."""
+    rng = np.random.default_rng(5)
+    edges = {(f"c{c}", f"i{c}s{j}"): True for c in range(8) for j in range(int(rng.integers(3, 40)))}
+    for _ in range(120):
+        edges[f"c{rng.integers(8)}", f"u{rng.integers(40)}"] = False
+    proved = {c: sum(s for (d, _), s in edges.items() if d == c) for c in {c for c, _ in edges}}
+    score = {c: 0.0 for c, n in proved.items() if n >= pii.SEEDS}
+    held = [(c, i, s) for (c, i), s in edges.items() if c in score]
+    for _ in range(3000):
+        best = {}
+        for c, i, s in held:
+            best[i] = max(best.get(i, 0.0), score[c])
+        score = {c: (sum(1.0 if s else best[i] for d, i, s in held if d == c) + 1) / (sum(d == c for d, _, _ in held) + 3) for c in score}
+    found = pii.context_scores(spark.createDataFrame([(c, i, s) for (c, i), s in edges.items()], "context string, instance string, seed boolean"))
+    assert {r["context"]: round(r["score"], 6) for r in found.collect()} == {c: round(x, 6) for c, x in score.items()}
+
+
 def plain_secrets(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(
         r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
