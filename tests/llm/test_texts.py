@@ -181,6 +181,37 @@ def test_secret_network():
     assert (scores[truth[400:] == 1] >= cut).mean() >= 0.9 and (scores[truth[400:] == 0] >= cut).mean() <= 0.02
 
 
+def test_secret_threshold_keeps_recall():
+    """Others that score high, as secrets without a pattern do, never lift the threshold."""
+    rng = np.random.default_rng(2)
+    hits, others = rng.uniform(0.8, 1, 400), rng.uniform(0, 0.1, 4000)
+    hidden = np.concatenate([others, rng.uniform(0.8, 1, 40), [1.5]])
+    for more in (others, hidden):
+        scores, truth = np.concatenate([hits, more]), np.repeat([1.0, 0.0], [len(hits), len(more)])
+        assert 0.95 <= (hits >= secret_scan.calibrated(scores, truth, 0.95, 0.005)).mean() < 0.96
+    cut = np.quantile(hits, 0.05)
+    assert secret_scan.false_alarms(hits, hidden, cut) < 0.003 and secret_scan.false_alarms(hits, others, cut) == 0
+    mixed = np.concatenate([others, rng.uniform(0.8, 0.9, 400)])
+    assert secret_scan.false_alarms(hits, mixed, cut) > 0.05
+    with pytest.warns(UserWarning, match="secret scan"):
+        secret_scan.calibrated(np.concatenate([hits, mixed]), np.repeat([1.0, 0.0], [len(hits), len(mixed)]), 0.95, 0.001)
+
+
+def test_secret_scan_learns_hidden(spark):
+    """Keys that no pattern has are learned though the candidates held out hold some of them."""
+    rng = np.random.default_rng(4)
+
+    def key(n):
+        return "".join(rng.choice(list("0123456789abcdef"), n))
+
+    names = ["-".join("".join(rng.choice(list("etaoinshrdlu"), 6)) for _ in range(4)) + str(k) for k in range(600)]
+    words = [*(key(40) for _ in range(300)), *names, *(key(30) for _ in range(16))]
+    docs = spark.createDataFrame([(k, f"some word {w} after") for k, w in enumerate(words)], "doc_id long, text string")
+    found = by_id(secret_scan.scan(docs))
+    assert sum(s["kind"] == "learned" for k in range(900, 916) for s in found[k]["spans"]) >= 12
+    assert sum(bool(found[k]["spans"]) for k in range(300, 900)) <= 6
+
+
 def test_licenses(some_docs, no_docs, plain):
     found = by_id(license_scan.scan(some_docs))
     for i, text in plain.items():
