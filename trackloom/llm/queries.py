@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trackloom.llm import (byte_bpe, fingerprints, license_scan, near_dedup, packing, pii, quality_rules, secret_scan,
-                           token_counts, url_filters)
+from trackloom.llm import (byte_bpe, fingerprints, hard_negatives, lexical_search, license_scan, near_dedup, packing, pii,
+                           quality_rules, secret_scan, suffix_dedup, token_counts, url_filters)
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -152,6 +152,89 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.m, d
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id"""
 
+
+def op11_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_read(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+windows AS (
+  SELECT doc_id, i, b[i + 1:i + 50] AS s
+  FROM (SELECT doc_id, b, unnest(range(n - 49)) AS i FROM sized WHERE n >= 50)),
+firsts AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s),
+gone AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE least < doc_id),
+marked AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) + 50 AS fresh FROM gone),
+runs AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS s, max(i) + 50 AS e FROM runs GROUP BY doc_id, run),
+parts AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS since FROM spans
+  UNION ALL SELECT doc_id, n, n, coalesce((SELECT max(e) FROM spans x WHERE x.doc_id = sized.doc_id), 0) FROM sized),
+kept AS (
+  SELECT p.doc_id, string_agg(hex(b[since + 1:s]), '' ORDER BY s, e) AS h
+  FROM parts p JOIN sized USING (doc_id) GROUP BY p.doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM sized LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(e - s) AS removed, count(*) AS n FROM spans GROUP BY doc_id) r(doc_id, removed, spans) USING (doc_id)"""
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    number, label = F.col("vec_id"), F.col("label")
+    rows = _read(spark, folder, "embeddings").withColumn("label", F.when(number % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(rows, number % 50 == 0)
+
+
+OP12_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+
+def op13_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term
+  FROM documents),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term
+  FROM benchmark),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+dfs AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, total GROUP BY term, big_n),
+given AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)) AS impact
+  FROM tfs JOIN sizes USING (doc_id), total),
+scored AS (
+  SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score
+  FROM asked JOIN dfs USING (term) JOIN given USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_secret_scan": (op2_secret_scan, None),
@@ -163,5 +246,8 @@ QUERIES = {
     "op7_minhash_near_dedup": (op7_minhash_near_dedup, OP7_SQL),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_url_filters": (op10_url_filters, OP10_SQL),
+    "op11_suffix_array_dedup": (op11_suffix_array_dedup, OP11_SQL),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
+    "op13_ranked_lexical_search": (op13_ranked_lexical_search, OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
