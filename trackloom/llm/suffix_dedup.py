@@ -30,8 +30,8 @@ LENGTH = 50
 # Bytes of the strings whose hashes name a window; a window holds LENGTH - GRAM + 1.
 GRAM = 22
 # A bundle's text, a shard's pieces and a bucket's text, in bytes, as sizes to aim at.
-BUNDLE_BYTES = 4 << 20
-SHARD_BYTES = 6 << 20
+BUNDLE_BYTES = 1 << 20
+SHARD_BYTES = 3 << 20
 BUCKET_BYTES = 64 << 20
 # Windows of a piece, at most: as many as a mask has bits.
 RUN = 32
