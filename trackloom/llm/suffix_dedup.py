@@ -29,10 +29,11 @@ from trackloom.session import cut_lineage
 LENGTH = 50
 # Bytes of the strings whose hashes name a window; a window holds LENGTH - GRAM + 1.
 GRAM = 22
-# A bundle's text, a shard's pieces and a bucket's text, in bytes, as sizes to aim at.
-BUNDLE_BYTES = 1 << 20
-SHARD_BYTES = 3 << 20
-BUCKET_BYTES = 64 << 20
+# A bundle's text, the pieces sent to a shard (equal ones of different bundles merge
+# there) and a bucket's text, in bytes, as sizes to aim at.
+BUNDLE_BYTES = 4 << 20
+SHARD_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20
 # Windows of a piece, at most: as many as a mask has bits.
 RUN = 32
 # A name that more bundles hold is split: each of its windows goes by its own bytes.
@@ -41,7 +42,7 @@ _GAP = 0xFF  # between pieces; no byte of UTF-8
 
 
 def _packed(*parts) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts, protocol=5))
+    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(parts, protocol=5))
 
 
 def _unpacked(blob: bytes):
@@ -315,7 +316,9 @@ def _names_of(text: np.ndarray, length: int, gram: int) -> np.ndarray:
         least = np.minimum(least[:len(least) - made], least[made:])
         made *= 2
     count = len(text) - length + 1
-    return np.minimum(least[:count], least[width - made:width - made + count])
+    least = np.minimum(least[:count], least[width - made:width - made + count])
+    least = (least ^ (least >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)  # least ones lie close together
+    return least ^ (least >> np.uint64(29))
 
 
 def _runs(ids, sizes, text: np.ndarray, length: int, gram: int):
@@ -344,21 +347,19 @@ def _opened(blob: bytes):
     return ids, sizes, text, np.frombuffer(text, np.uint8)
 
 
-# A name's bucket is its upper bits; the next 40 tell it apart there. Names that
+# A name's bucket is its upper bits; the next 32 tell it apart there. Names that
 # then still agree only make some text be compared for nothing.
 
 def _keys(names: np.ndarray, bits: int) -> np.ndarray:
-    return names >> np.uint64(24 - bits)
+    return names >> np.uint64(32 - bits)
 
 
-def _five(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray((keys & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _low(keys: np.ndarray) -> bytes:
+    return keys.astype("<u4").tobytes()
 
 
-def _of_five(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).reshape(-1)
+def _of_low(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u4")
 
 
 def _namer(length: int, gram: int, bits: int):
@@ -377,14 +378,14 @@ def _namer(length: int, gram: int, bits: int):
                 doc = doc[order]  # in text order within a name
                 several = doc[heads] != doc[np.append(heads[1:], len(doc)) - 1]
                 keys = keys[heads]
-                bucket = (keys >> np.uint64(40)).astype(np.int64)
+                bucket = (keys >> np.uint64(32)).astype(np.int64)
                 cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
                 found = [(bucket[s], k[m], k[~m]) for s, e in zip(cuts, cuts[1:])
                          for k, m in [(keys[s:e], several[s:e])]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in found], pa.int64()), pa.array([bundle] * len(found), pa.int64()),
-                     pa.array([_five(x[1]) for x in found], pa.binary()),
-                     pa.array([_five(x[2]) for x in found], pa.binary())],
+                     pa.array([_low(x[1]) for x in found], pa.binary()),
+                     pa.array([_low(x[2]) for x in found], pa.binary())],
                     ["bucket", "bundle", "several", "single"])
 
     return run
@@ -394,8 +395,8 @@ def _sharer(hot: int):
     """Names of a bucket that two documents or more hold, back to each bundle."""
     def run(table: pa.Table) -> pa.Table:
         bundles = table.column("bundle").to_pylist()
-        several = [_of_five(x) for x in table.column("several").to_pylist()]
-        single = [_of_five(x) for x in table.column("single").to_pylist()]
+        several = [_of_low(x) for x in table.column("several").to_pylist()]
+        single = [_of_low(x) for x in table.column("single").to_pylist()]
         names, back, counts = np.unique(np.concatenate(several + single), return_inverse=True, return_counts=True)
         marked = np.zeros(len(names), bool)
         marked[back[:sum(map(len, several))]] = True
@@ -406,7 +407,7 @@ def _sharer(hot: int):
             place = np.searchsorted(names, own)
             kept, many = own[shared[place]], own[often[place]]
             if len(kept):
-                out.append((bundle, _five(kept), _five(many), len(kept)))
+                out.append((bundle, _low(kept), _low(many), len(kept)))
         bucket = table.column("bucket")[0].as_py()
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([bucket] * len(out), pa.int64()),
                          pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary()),
@@ -431,7 +432,7 @@ def _cutter(length: int, gram: int, bits: int, shards: int):
                 names, start, windows, doc = _runs(ids, sizes, text, length, gram)
 
                 def all_of(field):
-                    got = [_of_five(x[field]) | np.uint64(x["bucket"] << 40) for x in buckets]
+                    got = [_of_low(x[field]).astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in buckets]
                     return np.sort(np.concatenate(got))
 
                 keys = _keys(names, bits)
