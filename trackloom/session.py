@@ -1,5 +1,6 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults, lineage cutting and the lifetime of what it writes."""
 
+import contextvars
 import tempfile
 import uuid
 
@@ -52,6 +53,66 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+class Scope:
+    """The tables that ``cut_lineage`` writes while the scope is the innermost one.
+
+    They go when it ends, however it ends, but for those that were handed on with
+    ``keep``: these then belong to the scope around it, if there is one.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table that outlives the scope."""
+        path = _new_path(self.spark)
+        df.write.parquet(path)
+        outer = self._outer
+        if outer is not None:
+            outer.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this scope that nothing will read again."""
+        files = {f for t in tables for f in t.inputFiles()}
+        gone = [p for p in self.paths if any(_below(f, p) for f in files)]
+        self._delete(gone)
+        self.paths = [p for p in self.paths if p not in gone]
+
+    def _delete(self, paths: list[str]) -> None:
+        jvm = self.spark._jvm
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+    def __enter__(self):
+        self._outer = _scope.get()
+        self._token = _scope.set(self)
+        return self
+
+    def __exit__(self, *_):
+        _scope.reset(self._token)
+        self._delete(self.paths)
+
+
+_scope: contextvars.ContextVar = contextvars.ContextVar("trackloom_scope", default=None)
+
+
+def _below(file: str, folder: str) -> bool:
+    return folder.rsplit("/", 1)[1] in file.split("/")
+
+
+def _new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def result_of(spark: SparkSession, build) -> DataFrame:
+    """``build()`` as one written table; every table written on the way is deleted."""
+    with Scope(spark) as scope:
+        return scope.keep(build())
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -59,6 +120,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     columns they use, and know the table's size when they pick a join.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = _new_path(spark)
+    scope = _scope.get()
+    if scope is not None:
+        scope.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
