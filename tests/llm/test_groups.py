@@ -1,5 +1,6 @@
 """Near duplicates, URL filters and the pipeline against plain versions."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ import pytest
 import corpus_pipeline
 from checks.compare import differences, oracle
 from trackloom.llm import near_dedup, packing, pii, quality_rules, queries, url_filters
+from trackloom.session import shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,15 +72,20 @@ def test_op7_stays_at_085(spark, tmp_path):
     assert found == plain_groups(texts, 85) != plain_groups(texts, 80)
 
 
-def test_pipeline_at_080(spark):
-    """The whole run with plain groups at 80, which differ here from those at 85."""
+def test_an_id_with_several_texts_keeps_all_its_links(spark):
+    one, two = [f"w{k}" for k in range(60)], [f"v{k}" for k in range(60)]
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one, "z"])), (3, " ".join([*two, "z"])), (4, "alone in the world")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.duplicate_groups(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_tables_do_not_pile_up(spark):
+    """What a job wrote on its way is gone with it; only its result stays."""
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    good = {r["doc_id"] for r in quality_rules.judged(docs, labels).where("kept").collect()}
-    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in good}
-    stay = {i for i, (_, head) in plain_groups(texts, 80).items() if i == head}
-    assert stay < {i for i, (_, head) in plain_groups(texts).items() if i == head}
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == stay
+    groups = near_dedup.duplicate_groups(docs)
+    assert len(set(os.listdir(folder)) - before) == 1 and groups.count() == docs.count()
 
 
 def test_chains_and_shared_passages(spark):
@@ -129,7 +136,7 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     good = {r["doc_id"] for r in quality_rules.judged(docs, labels).where("kept").collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in good}
-    stay = {i for i, (_, head) in plain_groups(texts).items() if i == head}
+    stay = {i for i, (_, head) in plain_groups(texts, 80).items() if i == head}
     masked = {r["doc_id"]: r["text"] for r in pii.mask(docs.where(docs.doc_id.isin(sorted(stay)))).collect()}
     final = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in final.select("doc_id").distinct().collect()} == stay

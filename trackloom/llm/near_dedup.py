@@ -14,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import prepare, text_bytes
-from trackloom.session import cut_lineage
+from trackloom.session import Scope, cut_lineage
 
 # A pair at 0.80 shares no band with probability (1 - 0.8 ** 7) ** 56 < 2e-6; one
 # at 0.5 shares a given band with probability 0.008, which keeps passages that many
@@ -65,9 +64,6 @@ def shingle_set(text: bytes, hashes: WordHashes, width: int = SHINGLE) -> np.nda
     return np.unique(rolled)
 
 
-_TRIES = 64
-
-
 def _detours(bins: int) -> np.ndarray:
     """For each bin, the bins to borrow from, in order: the same for all sets."""
     rng = np.random.default_rng(20_170_600)
@@ -131,7 +127,9 @@ def _setter(width: int):
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(text, hashes, width).tobytes() for text in text_bytes(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+            part = [xxhash.xxh3_64_intdigest(x) >> 1 for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part, pa.int64()), pa.array(sets, pa.binary())],
+                                             ["node", "part", "shingles"])
 
     return run
 
@@ -153,7 +151,8 @@ def _confirm(threshold: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """a, b, linked for every pair, by the full sets of both."""
+    """a, b, linked for every pair, by the full sets of both; a row for each two of
+    their sets where a node has several."""
     kind = pairs.schema["a"].dataType.simpleString()
     held = (pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb"))
@@ -167,29 +166,37 @@ def components(links: DataFrame) -> DataFrame:
     neighbours first and then smaller ones, until no link changes. Both are
     grouped minima and a join, so a hot node is never one task's list.
     """
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                        .where("u <> v").distinct())
-    mark = None
-    while True:
-        both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        edges = (both.where("v > u").join(least, "u").select("v", "m").where("v <> m").distinct().toDF("u", "v"))
-        edges = cut_lineage(edges)
-        least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")))
-        hung = edges.join(least, "u")
-        edges = cut_lineage(hung.select("v", "m").where("v <> m").union(least.select("u", "m")).distinct().toDF("u", "v"))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component"))
-        mark = now
+    spark = links.sparkSession
+    with Scope(spark) as scope:
+        edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                            .where("u <> v").distinct())
+        mark = None
+        while True:
+            old = [edges]
+            both = edges.union(edges.select("v", "u")).toDF("u", "v")
+            least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+            edges = (both.where("v > u").join(least, "u").select("v", "m").where("v <> m").distinct().toDF("u", "v"))
+            edges = cut_lineage(edges)
+            scope.drop(*old, least)
+            old = [edges]
+            least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")))
+            hung = edges.join(least, "u")
+            edges = cut_lineage(hung.select("v", "m").where("v <> m").union(least.select("u", "m")).distinct().toDF("u", "v"))
+            scope.drop(*old, least)
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == mark:
+                return scope.keep(edges.groupBy("u").agg(F.min("v").alias("m"))
+                                  .select(F.col("u").alias("node"), F.col("m").alias("component")))
+            mark = now
 
 
 def _tokens(batches):
     for batch in batches:
-        found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        found = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
         if found:
             owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.concatenate(found))], ["node", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner),
+                                              pa.array(np.concatenate(found))], ["node", "part", "token"])
 
 
 def _rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
@@ -201,16 +208,18 @@ def _rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
     threshold have one of them in common (prefix filter).
     """
     kind = sets.schema["node"].dataType.simpleString()
-    tokens = cut_lineage(sets.select("node", "shingles").mapInArrow(_tokens, f"node {kind}, token long"))
-    shared = cut_lineage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    least = F.ceil(F.col("n") * threshold / 100)
-    held = (tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-            .withColumn("m", F.size("t").cast("long"))
-            .join(sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")), "node")
-            .where(F.col("m") * 100 >= F.col("n") * threshold))
-    take = F.greatest((F.col("m") - least + 1).cast("int"), F.lit(0))
-    prefix = F.transform(F.slice("t", F.lit(1), take), lambda x: x["token"])
-    return held.select("node", "n", "m", prefix.alias("prefix")).withColumn("bucket", F.explode("prefix"))
+    with Scope(sets.sparkSession) as scope:
+        tokens = cut_lineage(sets.select("node", "part", "shingles").mapInArrow(_tokens, f"node {kind}, part long, token long"))
+        shared = cut_lineage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+        least = F.ceil(F.col("n") * threshold / 100)
+        held = (tokens.join(shared, "token").groupBy("node", "part")
+                .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+                .withColumn("m", F.size("t").cast("long"))
+                .join(sets.select("node", "part", (F.octet_length("shingles") / 8).cast("long").alias("n")), ["node", "part"])
+                .where(F.col("m") * 100 >= F.col("n") * threshold))
+        take = F.greatest((F.col("m") - least + 1).cast("int"), F.lit(0))
+        prefix = F.transform(F.slice("t", F.lit(1), take), lambda x: x["token"])
+        return scope.keep(held.select("node", "n", "m", prefix.alias("prefix")).withColumn("bucket", F.explode("prefix")))
 
 
 def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
@@ -237,26 +246,29 @@ def _finish(members: DataFrame, tried: DataFrame, sets: DataFrame, threshold: in
     nodes = cut_lineage(_open(members, joined).select("node").distinct())
     if nodes.isEmpty():
         return joined
-    members = cut_lineage(_rare_prefixes(sets.join(nodes, "node"), threshold))
+    members = _rare_prefixes(sets.join(nodes, "node"), threshold)
     done, at_once = members.select("bucket", "node").limit(0), 1024
     while True:
-        here = cut_lineage(_open(members, joined))
-        loose = here.where("component <> main").join(done, ["bucket", "node"], "left_anti")
-        rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-        centres = cut_lineage(loose.withColumn("_rank", rank).where(F.col("_rank") <= at_once).drop("_rank"))
-        if centres.isEmpty():
-            return joined
-        others = here.select("bucket", F.col("node").alias("o"), F.col("n").alias("no"), F.col("m").alias("mo"),
-                             F.col("component").alias("co"), F.col("prefix").alias("po"))
-        # A pair meets once, at the first shingle that both prefixes have.
-        first = F.get(F.array_intersect("prefix", "po"), F.lit(0)) == F.col("bucket")
-        most = F.least("m", "mo")
-        size = 100 * most >= threshold * (F.col("n") + F.col("no") - most)
-        met = (centres.join(others, "bucket").where((F.col("component") != F.col("co")) & size & first)
-               .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = cut_lineage(met.join(known, ["a", "b"], "left_anti"))
-        found = cut_lineage(confirmed(fresh, sets, threshold))
+        with Scope(members.sparkSession) as scope:
+            here = cut_lineage(_open(members, joined))
+            loose = cut_lineage(here.where("component <> main").join(done, ["bucket", "node"], "left_anti"))
+            # About at_once of each bucket, by hash: all of them where there are no more.
+            many = loose.groupBy("bucket").agg(F.count(F.lit(1)).alias("_many"))
+            share = F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * at_once / F.col("_many")
+            centres = scope.keep(loose.join(many, "bucket").where(share).drop("_many"))
+            if centres.isEmpty():
+                return joined
+            others = here.select("bucket", F.col("node").alias("o"), F.col("n").alias("no"), F.col("m").alias("mo"),
+                                 F.col("component").alias("co"), F.col("prefix").alias("po"))
+            # A pair meets once, at the first shingle that both prefixes have.
+            first = F.get(F.array_intersect("prefix", "po"), F.lit(0)) == F.col("bucket")
+            most = F.least("m", "mo")
+            size = 100 * most >= threshold * (F.col("n") + F.col("no") - most)
+            met = (centres.join(others, "bucket").where((F.col("component") != F.col("co")) & size & first)
+                   .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
+            known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            fresh = cut_lineage(met.join(known, ["a", "b"], "left_anti"))
+            found = scope.keep(confirmed(fresh, sets, threshold))
         tried = tried.union(found)
         done = done.union(centres.select("bucket", "node"))
         at_once *= 16
@@ -270,37 +282,46 @@ def duplicate_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = S
 
     Two documents are linked when 100 * |A and B| >= ``threshold`` * |A or B|.
     Null or blank texts have no shingles and are linked with nothing. Rows that
-    share a doc_id are one document. Rows without a doc_id stand for themselves
+    share a doc_id are one document, which is linked with what any of them is. Rows without a doc_id stand for themselves
     only as copies of others; their own component is that of the set they hold,
     or null. An empty table gives an empty result; other columns are not read.
     """
     prepare(docs.sparkSession)
+    with Scope(docs.sparkSession) as scope:
+        return scope.keep(_groups(docs, threshold, width, bands, rows, scope))
+
+
+def _groups(docs: DataFrame, threshold: int, width: int, bands: int, rows: int, scope: Scope) -> DataFrame:
     sketch = cut_lineage(sketches(docs, width, bands, rows))
     digest = ["d1", "d2", "n_shingles"]
-    groups = cut_lineage(sketch.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("node")))
-
-    # One member per distinct set; its row in the sketch carries the band keys.
-    least = sketch.join(groups.where("node is not null").select(F.col("node").alias("doc_id"), *digest), ["doc_id", *digest])
-    spread = (least.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
-              .distinct())
+    # Equal sets have equal keys: one row per distinct set, named by the least id.
+    keyed = cut_lineage(sketch.where("n_shingles > 0").groupBy(*digest)
+                        .agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    groups = cut_lineage(keyed.select("node", *digest))
+    labels = cut_lineage(sketch.drop("keys"))
+    scope.drop(sketch)
+
+    spread = (keyed.where("node is not null")
+              .select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket")))
     counted = spread.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members"))
     centres = cut_lineage(counted.where("members > 1").select("bucket", "centre"))
-    members = cut_lineage(spread.join(centres, "bucket"))
-
-    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    members = cut_lineage(spread.join(centres, "bucket").select("bucket", "node", "n", "centre"))
+    scope.drop(keyed, centres)
+    pairs = cut_lineage(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
 
     # Sets of documents in buckets of two or more, written once for all rounds.
     candidates = cut_lineage(members.select("node").distinct())
-    held = docs.select(F.col("doc_id").alias("node"), "text").join(candidates, "node").dropDuplicates(["node"])
+    held = docs.select(F.col("doc_id").alias("node"), "text").join(candidates, "node")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = cut_lineage(held.mapInArrow(_setter(width), f"node {kind}, shingles binary"))
+    sets = cut_lineage(held.mapInArrow(_setter(width), f"node {kind}, part long, shingles binary")
+                       .dropDuplicates(["node", "part"]))
 
     tried = cut_lineage(confirmed(pairs, sets, threshold))
-    joined = _finish(members, tried, sets, threshold)
+    joined = _finish(members.select("bucket", "node", "n"), tried, sets, threshold)
 
     labelled = cut_lineage(groups.join(joined, "node", "left")
                            .select(*digest, F.coalesce("component", "node").alias("component_id")))
-    return (sketch.drop("keys").join(labelled, digest, "left")
+    return (labels.join(labelled, digest, "left")
             .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
             .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
@@ -309,7 +330,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents of which each group keeps its least doc_id, all columns as
     they were. Of repeated rows (equal doc_id) one stays; rows without a doc_id
     stay."""
-    found = cut_lineage(duplicate_groups(docs, **options))
+    found = duplicate_groups(docs, **options)
     dropped = cut_lineage(found.where("not kept and doc_id is not null").select("doc_id").distinct())
     repeated = cut_lineage(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     rest = docs.join(dropped, "doc_id", "left_anti")
