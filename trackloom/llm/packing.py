@@ -23,10 +23,9 @@ from trackloom.session import cut_lineage
 CAPACITY = 2048
 # Pieces of a group, about; a group is packed in the memory of one task.
 GROUP = 100_000
-# A group of the next round takes the returned pieces of so many groups.
+# A group of the next round takes the pieces that so many groups give back: those of
+# 1 + 8 * gap bins each, for a gap of that many bins to the bound.
 MERGED = 16
-# Bins that a group returns at most; the rest keep their pieces.
-RETURNED = 64
 
 
 def _cutter(path: str, capacity: int, closing: int):
@@ -107,7 +106,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _packer(capacity: int, turn: int, last: bool, returned: int):
+def _packer(capacity: int, turn: int, last: bool):
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -119,7 +118,7 @@ def _packer(capacity: int, turn: int, last: bool, returned: int):
         back = np.zeros(count, bool)
         if not last:
             fill = np.bincount(bins, weights=lengths, minlength=count)
-            back[np.argsort(fill, kind="stable")[:min(returned, 1 + 8 * (count - bound))]] = True
+            back[np.argsort(fill, kind="stable")[:1 + 8 * (count - bound)]] = True
         first = ((turn << 22) + TaskContext.get().partitionId()) << 34
         for low in range(0, len(lengths), 10_000):
             some = slice(low, low + 10_000)
@@ -132,8 +131,7 @@ def _packer(capacity: int, turn: int, last: bool, returned: int):
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, merged: int = MERGED,
-         returned: int = RETURNED) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, merged: int = MERGED) -> DataFrame:
     """Adds sequence_id, offset and certified to pieces (columns doc_id, piece,
     start, length, ids_crc32). certified: the bins of its last group, or its own full
     sequence, are as few as can be. Equal rows are packed as often as they occur.
@@ -150,7 +148,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, merged:
     while groups:
         last = groups == 1
         dealt = rest.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)))
-        tried = cut_lineage(dealt.mapInArrow(_packer(capacity, turn, last, returned), schema))
+        tried = cut_lineage(dealt.mapInArrow(_packer(capacity, turn, last), schema))
         done.append(tried.where("not _back").drop("_back"))
         rest, turn, groups = tried.where("_back").select(*names), turn + 1, 0 if last else -(-groups // merged)
     packed = done[0]
