@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trackloom.llm import byte_bpe, fingerprints, license_scan, packing, pii, quality_rules, queries, secret_scan, token_counts
+from trackloom.llm import byte_bpe, common, fingerprints, license_scan, packing, pii, quality_rules, queries, secret_scan, token_counts
 
 BLANK = r"[\x20\x09-\x0D]"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -126,6 +126,24 @@ def test_pii_few_seeds(spark):
     assert [s["kind"] for i in (k, k + 1) for s in found[i]["spans"]] == ["context", "context"]
 
 
+def test_pii_chance_seeds_prove_nothing(spark):
+    """A frequent context with a few seeds by chance reports none of its numbers."""
+    rows = [(k, f"many words of the user{k}@mail.example.com today") for k in range(5)]
+    rows += [(100 + k, f"many words of the {10_000 + k} things") for k in range(3000)]
+    rows += [(9000 + k, f"many words my contact user{k}@mail.example.com today") for k in range(20)]
+    rows += [(9100 + k, f"many words my contact 77-{k}-9911 today") for k in range(10)]
+    found = by_id(pii.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(found[100 + k]["spans"] == [] for k in range(3000))
+    assert all([s["kind"] for s in found[9100 + k]["spans"]] == ["context"] for k in range(10))
+
+
+def test_sample_shares_never_vanish(spark):
+    rows = spark.range(1000)
+    assert 350 < common.sampled(rows, "id", 500, 1000).count() < 650 and common.sampled(rows, "id", 5000, 1000).count() == 1000
+    bound = common.sampled(rows, "id", 30_000, 10**11)._jdf.queryExecution().analyzed().toString()
+    assert "< 1383505805528" in bound  # 2^62 * 3e-7
+
+
 def test_pii_fixed_point(spark):
     """Scores are those that plain rounds tend to."""
     rng = np.random.default_rng(5)

@@ -16,6 +16,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def sampled(rows: DataFrame, column: str, wanted: int, total: int) -> DataFrame:
+    """About ``wanted`` of ``total`` rows, by a hash of ``column``. The share is cut
+    at 62 bits, so that it stays above 0 for any table."""
+    bound = max(int(min(1.0, wanted / max(total, 1)) * (1 << 62)), 1)
+    return rows.where(F.pmod(F.xxhash64(column), F.lit(1 << 62)) < F.lit(bound))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores in front until no column has that name."""
     taken = {c.lower() for c in df.columns}

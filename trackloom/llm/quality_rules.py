@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import BLANKS, free_name
+from trackloom.llm.common import BLANKS, free_name, sampled
 from trackloom.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -147,7 +147,7 @@ def learn_rules(labelled: DataFrame, precision: float = 0.8, max_rules: int = 8,
     columns = features()
     names = list(columns)
     rows = cut_lineage(labelled.select("bad", (F.pmod(F.xxhash64("key"), F.lit(3)) > 0).alias("grow"),
-                                       *[c.alias(n) for n, c in columns.items()]).coalesce(4))
+                                       *[c.alias(n) for n, c in columns.items()])).coalesce(4)  # about FIT_ROWS rows
     shares = [(k + 1) / (CUTS + 1) for k in range(CUTS)]
     found = rows.agg(*[F.percentile_approx(n, shares, 10_000).alias(n) for n in names]).first()
     if found[names[0]] is None:
@@ -197,8 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **options)
     total = known.count()
     if not total:
         return []
-    share = int(min(1.0, fit_rows / total) * (1 << 20))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    sample = sampled(known, "doc_id", fit_rows, total)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most about fit_rows rows
     return learn_rules(text_statistics(rows, "doc_id", "bad").withColumnRenamed("doc_id", "key"), **options)
 
