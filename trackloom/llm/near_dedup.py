@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import prepare, text_bytes
@@ -251,11 +252,9 @@ def _finish(members: DataFrame, tried: DataFrame, sets: DataFrame, threshold: in
     while True:
         with Scope(members.sparkSession) as scope:
             here = cut_lineage(_open(members, joined))
-            loose = cut_lineage(here.where("component <> main").join(done, ["bucket", "node"], "left_anti"))
-            # About at_once of each bucket, by hash: all of them where there are no more.
-            many = loose.groupBy("bucket").agg(F.count(F.lit(1)).alias("_many"))
-            share = F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * at_once / F.col("_many")
-            centres = scope.keep(loose.join(many, "bucket").where(share).drop("_many"))
+            loose = here.where("component <> main").join(done, ["bucket", "node"], "left_anti")
+            rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
+            centres = scope.keep(loose.withColumn("_rank", rank).where(F.col("_rank") <= at_once).drop("_rank"))
             if centres.isEmpty():
                 return joined
             others = here.select("bucket", F.col("node").alias("o"), F.col("n").alias("no"), F.col("m").alias("mo"),
