@@ -142,25 +142,25 @@ UNION ALL SELECT 10, 'neighbours_target_exists', count(*) FROM bedges
 
 
 def _deleted(spark, d):
-    """Delete the songs whose id ends in 3, in a catalogue of fewer edges."""
-    ids = songs(spark, d).where(F.col("song_id").endswith("3")).select("song_id")
-    return ingest.delete_songs(songs(spark, d), sparse_edges(spark, d), ids)
-
-
-def sparse_edges(spark, d):
-    """Every third source keeps two neighbours, so some songs are nobody's neighbour."""
-    return edges(spark, d).where((F.col("source_song_id").cast("bigint") % 3 == 0) & (F.col("neighbor_rank") <= 2))
-
-
-DELETED = f"""{CATALOGUE.replace('WITH', 'WITH RECURSIVE', 1)}, wanted AS (SELECT song_id FROM songs WHERE song_id LIKE '%3'),
-sparse AS (SELECT * FROM edges WHERE CAST(source_song_id AS BIGINT) % 3 = 0 AND neighbor_rank <= 2),
+    """Delete the songs whose id ends in 3; those that others point to are refused.
+    Each song has a twin that points to it and that nothing points to."""
+    twin = F.concat(F.lit("x"), "song_id")
+    every = songs(spark, d).unionByName(songs(spark, d).withColumn("song_id", twin))
+    links = edges(spark, d).unionByName(songs(spark, d).select(
+        twin.alias("source_song_id"), F.col("song_id").alias("target_song_id"), F.lit(1).alias("neighbor_rank")))
+    return ingest.delete_songs(every, links, every.where(F.col("song_id").endswith("3")).select("song_id"))
+
+
+DELETED = f"""{CATALOGUE.replace('WITH', 'WITH RECURSIVE', 1)}, xsongs AS (SELECT * FROM songs UNION ALL SELECT 'x' || song_id, song_name, artist_name, genre FROM songs),
+xedges AS (SELECT * FROM edges UNION ALL SELECT 'x' || song_id, song_id, 1 FROM songs),
+wanted AS (SELECT song_id FROM xsongs WHERE song_id LIKE '%3'),
 stay AS (
-  SELECT target_song_id AS song_id FROM sparse
+  SELECT target_song_id AS song_id FROM xedges
   WHERE source_song_id NOT IN (SELECT song_id FROM wanted) AND target_song_id IN (SELECT song_id FROM wanted)
   UNION
-  SELECT target_song_id FROM sparse JOIN stay ON source_song_id = stay.song_id
+  SELECT target_song_id FROM xedges JOIN stay ON source_song_id = stay.song_id
   WHERE target_song_id IN (SELECT song_id FROM wanted)),
-refused AS (SELECT target_song_id AS song_id, count(*) AS incoming_edges FROM sparse
+refused AS (SELECT target_song_id AS song_id, count(*) AS incoming_edges FROM xedges
   WHERE target_song_id IN (SELECT song_id FROM stay)
     AND (source_song_id NOT IN (SELECT song_id FROM wanted) OR source_song_id IN (SELECT song_id FROM stay))
   GROUP BY target_song_id),
@@ -206,9 +206,9 @@ QUERIES = {
     "load_stats": (load_stats, LOAD_STATS),
     "table_constraints": (table_constraints, TABLE_CONSTRAINTS),
     "delete_songs_left": (lambda s, d: _deleted(s, d)[0],
-                          f"{DELETED} SELECT * FROM songs WHERE song_id NOT IN (SELECT song_id FROM gone)"),
+                          f"{DELETED} SELECT * FROM xsongs WHERE song_id NOT IN (SELECT song_id FROM gone)"),
     "delete_edges_left": (lambda s, d: _deleted(s, d)[1],
-                          f"{DELETED} SELECT * FROM sparse WHERE source_song_id NOT IN (SELECT song_id FROM gone)"),
+                          f"{DELETED} SELECT * FROM xedges WHERE source_song_id NOT IN (SELECT song_id FROM gone)"),
     "delete_refused": (lambda s, d: _deleted(s, d)[2], f"{DELETED} SELECT * FROM refused"),
     "catalogue_load_report": (catalogue_load_report, CATALOGUE_LOAD_REPORT),
     "stage_catalogue": (lambda s, d: _stored(s, d, "parquet"), STORED),

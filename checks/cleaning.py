@@ -248,10 +248,10 @@ def _finished(spark, d):
     rows = valid(spark, d)
     wrapped = F.when(F.substring("row_id", -1, 1) == "1", F.concat(F.lit("['"), "artist_name", F.lit("']"))).otherwise(
         F.col("artist_name"))
-    return rows.where(F.col("key").isNotNull() & F.col("mode").isNotNull()).withColumn("artist_name", wrapped)
+    return rows.na.fill(0.0, ["key", "mode"]).withColumn("artist_name", wrapped)
 
 
-_FINISHED = f"""WITH {DIRTY}, {VALID}, done AS (SELECT * FROM valid WHERE key IS NOT NULL AND mode IS NOT NULL)"""
+_FINISHED = f"""WITH {DIRTY}, {VALID}, done AS (SELECT * REPLACE (coalesce(key, 0) AS key, coalesce(mode, 0) AS mode) FROM valid)"""
 
 
 def final_storage(spark, d):

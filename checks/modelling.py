@@ -15,15 +15,14 @@ PI = "pi()"
 
 PREDICTED = f"""{DIRTY}, pred AS (
   SELECT CAST(key AS INT) AS true_key, CAST(mode AS INT) AS true_mode,
-    CAST((key + CAST(tempo AS BIGINT) % 5 * (CAST(duration_ms AS BIGINT) % 3)) % 12 AS INT) AS predicted_key,
-    CAST((mode + CAST(tempo AS BIGINT) % 3) % 2 AS INT) AS predicted_mode, time_signature AS part
-  FROM dirty WHERE key IS NOT NULL AND mode IS NOT NULL AND duration_ms IS NOT NULL AND tempo >= 0)"""
+    CAST((key + abs(CAST(tempo AS BIGINT)) % 5 * (CAST(coalesce(duration_ms, 0) AS BIGINT) % 3)) % 12 AS INT) AS predicted_key,
+    CAST((mode + abs(CAST(tempo AS BIGINT)) % 3) % 2 AS INT) AS predicted_mode, time_signature AS part
+  FROM (SELECT * REPLACE (coalesce(key, 0) AS key, coalesce(mode, 0) AS mode) FROM dirty))"""
 
 
 def predicted(spark, d):
-    rows = dirty(spark, d).where(F.col("key").isNotNull() & F.col("mode").isNotNull()
-                                 & F.col("duration_ms").isNotNull() & (F.col("tempo") >= 0))
-    beat, length = F.col("tempo").cast("bigint"), F.col("duration_ms").cast("bigint")
+    rows = dirty(spark, d).na.fill(0.0, ["key", "mode", "duration_ms"])
+    beat, length = F.abs(F.col("tempo").cast("bigint")), F.col("duration_ms").cast("bigint")
     return rows.select(
         F.col("key").cast("int").alias("true_key"), F.col("mode").cast("int").alias("true_mode"),
         ((F.col("key") + beat % 5 * (length % 3)) % 12).cast("int").alias("predicted_key"),
@@ -305,6 +304,15 @@ HOLD_OUT = f"""WITH {DIRTY} SELECT row_id, {hash32_sql('row_id')} % 10000 < 2000
 CAST({hash32_sql('row_id')} % 5 AS INT) AS fold FROM dirty"""
 
 
+STRATIFIED_FOLDS = f"""WITH {DIRTY}
+SELECT row_id, key, CAST((row_number() OVER (PARTITION BY key ORDER BY {hash32_sql('row_id')}, row_id) - 1) % 5 AS INT) AS fold
+FROM dirty"""
+
+
+def stratified_folds(spark, d):
+    return splits.stratified_folds(dirty(spark, d).select("row_id", "key"), "key", "row_id", 5)
+
+
 def stratified_hold_out(spark, d):
     rows = dirty(spark, d).where(F.col("key").isNotNull()).select("row_id", "key")
     return splits.stratified_hold_out(rows, "key", "row_id")
@@ -452,6 +460,7 @@ QUERIES = {
     "decoder_sweep": (decoder_sweep, DECODER_SWEEP),
     "hold_out": (hold_out, HOLD_OUT),
     "stratified_hold_out": (stratified_hold_out, STRATIFIED_HOLD_OUT),
+    "stratified_folds": (stratified_folds, STRATIFIED_FOLDS),
     "sampled_rows": (sampled_rows, SAMPLED_ROWS),
     "stratified_sample": (stratified_sample, STRATIFIED_SAMPLE),
     "observed_and_missing": (observed_and_missing, OBSERVED_AND_MISSING),

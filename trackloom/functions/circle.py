@@ -106,14 +106,6 @@ def distance_matrix(space: str = "key", ordering: str = "chromatic") -> list[lis
     return [[math.dist(point(a), point(b)) for b in range(size)] for a in range(size)]
 
 
-def kernel_weight(distance: Column, beta: float, kernel: str = "gaussian_squared") -> Column:
-    if kernel == "gaussian_squared":
-        return F.exp(-beta * distance * distance)
-    if kernel == "gaussian_linear":
-        return F.exp(-beta * distance)
-    raise ValueError(f"unknown kernel {kernel!r}, expected one of {KERNELS}")
-
-
 def soft_targets(distances: list[list[float]], alpha: float, beta: float,
                  kernel: str = "gaussian_squared") -> list[list[float]]:
     """Row-stochastic mix of the one-hot label and a distance kernel."""

@@ -168,13 +168,11 @@ def min_max(c: Column) -> Column:
 def _mean_abs_correlations(df: DataFrame) -> DataFrame:
     """(target, mean absolute correlation with the other regression targets)."""
     pairs = [(a, b) for i, a in enumerate(REGRESSION_TARGETS) for b in REGRESSION_TARGETS[i + 1:]]
-    points = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
-                       for a, b in pairs])
-    found = (
-        df.select(F.explode(points).alias("p")).select("p.*")
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("a", "b").agg(F.abs(F.corr("x", "y")).alias("r")))
-    return found.where(~F.isnan("r")).select(F.explode(F.array("a", "b")).alias("target"), "r").groupBy("target").agg(
+    # All pairs side by side in one aggregate of one row; a pair's nulls drop out of it alone.
+    wide = df.agg(*[F.abs(F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs])
+    name = F.split("name", r"\|")
+    found = wide.unpivot([], wide.columns, "name", "r").select(name[0].alias("a"), name[1].alias("b"), "r")
+    return found.where(F.col("r").isNotNull() & ~F.isnan("r")).select(F.explode(F.array("a", "b")).alias("target"), "r").groupBy("target").agg(
         F.avg("r").alias("mean_abs_corr_with_other_regression_targets"))
 
 
@@ -182,8 +180,8 @@ def target_priority(df: DataFrame) -> DataFrame:
     """Heuristic order in which to impute the ten targets.
 
     One pass counts missing targets by how many features a row has, at most
-    twelve rows; another gives the 28 pairwise correlations, a grouped aggregate
-    that shrinks to 28 rows per task. The rest works on those small tables.
+    twelve rows; another gives the 28 pairwise correlations, one row per
+    task. The rest works on those small tables.
     """
     others = len(MODELLED_COLUMNS) - 1
     targets = REGRESSION_TARGETS + CLASS_TARGETS

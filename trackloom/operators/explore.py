@@ -169,9 +169,12 @@ def merge_delta(existing: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def expand_until_cap(nodes: DataFrame, edges_seen: DataFrame, songs: DataFrame, edges: DataFrame, rounds: int,
-                     cap: int = GRAPH_NODE_CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+                     cap: int = GRAPH_NODE_CAP, sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Select everything visible, expand, merge; ``rounds`` times or until
-    nothing new arrives. Returns (nodes, edges, meta of the last state)."""
+    nothing new arrives. Returns (nodes, edges, meta of the last state); meta has a
+    row for every session of the inputs and of ``sessions`` (session_id) if given."""
+    known = nodes.select("session_id").union(edges_seen.select("session_id"))
+    known = (known if sessions is None else known.union(sessions.select("session_id"))).distinct()
     nodes = nodes.select("session_id", "id", "position")
     edges_seen = edges_seen.select("session_id", "id")
     for _ in range(rounds):
@@ -183,7 +186,7 @@ def expand_until_cap(nodes: DataFrame, edges_seen: DataFrame, songs: DataFrame,
         nodes = cut_lineage(merge_delta(nodes, new_nodes))
         edges_seen = cut_lineage(edges_seen.unionByName(new_edges))
     meta = (
-        nodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("visible_node_count"))
+        known.join(nodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("visible_node_count")), "session_id", "left")
         .join(edges_seen.groupBy("session_id").agg(F.count(F.lit(1)).alias("visible_edge_count")), "session_id", "left")
         .na.fill(0).withColumn("reached_limit", F.col("visible_node_count") >= cap))
     return nodes, edges_seen, meta

@@ -26,7 +26,6 @@ from trackloom.session import cut_lineage
 FLAG_COLUMNS = [f"{c}_missing" for c in MODELLED_COLUMNS]
 FEATURE_POOL = MODELLED_COLUMNS + FLAG_COLUMNS
 # Every modelled column by its role, and all raw audio columns usable as features.
-RAW_FEATURES = [*AUDIO_NUMERIC_COLUMNS, "explicit", "key", "time_signature", "mode"]
 
 
 @dataclass(frozen=True)
@@ -64,10 +63,6 @@ class Target:
         which is constant on the rows a model is trained on."""
         return [c for c in FEATURE_POOL if c not in (self.name, f"{self.name}_missing")]
 
-    @property
-    def raw_features(self) -> list[str]:
-        return [c for c in RAW_FEATURES if c != self.name]
-
 
 def targets() -> dict[str, Target]:
     """The registry: unit-interval features are clipped, loudness is not, tempo
@@ -149,22 +144,25 @@ def _filled(df: DataFrame, target: str, predicted: Column, columns: list[str]) -
 
 
 def impute_regression(df: DataFrame, target: Target, key: str, params: TreeParams = TreeParams(),
-                      features: list[str] | None = None) -> Imputed:
-    """Score on a hold-out, refit on all observed rows, fill the nulls."""
+                      features: list[str] | None = None, clip_scored: bool = True) -> Imputed:
+    """Score on a hold-out, refit on all observed rows, fill the nulls. Filled values
+    stay within the target's bounds; so do scored ones, unless ``clip_scored`` is off."""
     ready = prepare(df, features or [c for c in target.features if c in df.columns], key)
     observed, _ = splits.split_observed(ready, target.name)
     bounded = clip(F.col("prediction"), target.lower, target.upper)
     trial = fit_regressor(observed.where(~F.col("held_out")), target.name, params)
-    scored = trial.transform(observed.where("held_out")).withColumn("clipped", bounded)
+    scored = trial.transform(observed.where("held_out")).withColumn(
+        "_scored", bounded if clip_scored else F.col("prediction"))
     model = fit_regressor(observed, target.name, params)
     return Imputed(
         _filled(model.transform(ready), target.name, bounded, df.columns),
-        metrics.regression_metrics(scored, target.name, "clipped"),
+        metrics.regression_metrics(scored, target.name, "_scored"),
         row_counts(ready, target.name))
 
 
 def impute_tempo(df: DataFrame, key: str, params: TreeParams = TreeParams()) -> Imputed:
-    return impute_regression(df, targets()["tempo"], key, params)
+    """Tempo is scored by what the model predicts, before its bounds are applied."""
+    return impute_regression(df, targets()["tempo"], key, params, clip_scored=False)
 
 
 def impute_classification(df: DataFrame, target: Target, key: str, params: TreeParams = TreeParams(),
@@ -182,6 +180,8 @@ def impute_classification(df: DataFrame, target: Target, key: str, params: TreeP
 
 
 def impute(df: DataFrame, target: Target, key: str, params: TreeParams = TreeParams()) -> Imputed:
+    if target.name == "tempo":
+        return impute_tempo(df, key, params)
     step = impute_regression if target.kind == "regression" else impute_classification
     return step(df, target, key, params)
 
@@ -227,9 +227,9 @@ def together(tasks: list, parallelism: int = 4) -> list:
 def cross_validate(df: DataFrame, target: Target, key: str, k: int = 5, params: TreeParams = TreeParams(),
                    features: list[str] | None = None) -> DataFrame:
     """Mean of the fold metrics: mae, rmse, r2 or accuracy, f1_macro."""
-    ready = cut_lineage(splits.folds(
-        assemble(df.where(F.col(target.name).isNotNull()), features or [c for c in target.features if c in df.columns]),
-        key, k))
+    whole = assemble(df.where(F.col(target.name).isNotNull()), features or [c for c in target.features if c in df.columns])
+    ready = cut_lineage(splits.folds(whole, key, k) if target.kind == "regression"
+                        else splits.stratified_folds(whole, target.name, key, k))
     scored = out_of_fold(ready, target.name, k, params, None if target.kind == "regression" else
                          (circle.KEYS if target.name == "key" else circle.MODES))
     if target.kind == "regression":

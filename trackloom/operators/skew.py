@@ -24,8 +24,9 @@ def hot_keys(df: DataFrame, column: str) -> list:
 def left_join_salted(rows: DataFrame, lookup: DataFrame, key: str, hot_by: str | None = None) -> DataFrame:
     """Left join of ``rows`` to a lookup that is unique on ``key``.
 
-    Rows of a hot key, and rows without a key, are spread over SALTS shuffle
-    partitions; only the lookup rows of hot keys are repeated. The salt mixes in
+    Rows without a key match nothing and are not shuffled at all. Rows of a hot key
+    are spread over SALTS shuffle partitions; only the lookup rows of hot keys are
+    repeated. The salt mixes in
     the map partition number, so exact copies of one row spread too, and a
     retried task salts the same way. ``hot_by`` names a column of both sides that
     stands for the key in the hot test (for keys of a nested type).
@@ -35,7 +36,7 @@ def left_join_salted(rows: DataFrame, lookup: DataFrame, key: str, hot_by: str |
     is_hot = F.col(by).isin(hot) if hot else F.lit(False)
     mixed = F.xxhash64(*[c for c in rows.columns if c not in (key, by)][:4])
     salt = F.pmod(F.spark_partition_id() + mixed, F.lit(SALTS)).cast("int")
-    salted = rows.withColumn("_salt", F.when(F.col(by).isNull() | is_hot, salt).otherwise(F.lit(0)))
+    salted = rows.where(F.col(by).isNotNull()).withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
     if hot:
         spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         lookup = lookup.withColumn("_salt", F.explode(spread))
@@ -43,7 +44,10 @@ def left_join_salted(rows: DataFrame, lookup: DataFrame, key: str, hot_by: str |
         lookup = lookup.withColumn("_salt", F.lit(0))
     if hot_by and hot_by != key:
         lookup = lookup.drop(hot_by)
-    return salted.join(lookup, [key, "_salt"], "left").drop("_salt")
+    joined = salted.join(lookup, [key, "_salt"], "left").drop("_salt")
+    added = [f for f in lookup.schema if f.name not in (key, "_salt")]
+    alone = rows.where(F.col(by).isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+    return joined.unionByName(alone)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Seeded splits, folds and samples that do not depend on the data's layout."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import sampling
@@ -31,6 +32,26 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int | str = SEED) -> DataFr
     return df.withColumn("fold", sampling.fold(F.col(key), k, seed))
 
 
+def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int | str = SEED,
+                     bucket_bits: int = 16) -> DataFrame:
+    """Add ``fold``: the rows of each label, in the order of their hash, go to the
+    folds in turn, so a label's fold sizes differ by one at most.
+
+    ``key`` is unique per row; rows without a label are a label of their own. A row's
+    place is that of its hash bucket, from a running sum over the label's bucket
+    counts (at most 2**bucket_bits), plus its rank in the bucket. So no label is
+    sorted in one task, and the ranked groups are the label's share of a bucket.
+    """
+    bucket = F.shiftright(sampling.hash32(F.col(key), seed), 32 - bucket_bits)
+    bucketed = df.withColumn("_b", bucket).withColumn("_l", F.struct(label))
+    counts = bucketed.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy("_l").orderBy("_b"))
+    before = counts.select("_l", "_b", (upto - F.col("_c")).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("_l", "_b").orderBy(sampling.hash32(F.col(key), seed), key))
+    placed = bucketed.withColumn("_rank", rank).join(before, ["_l", "_b"])
+    return placed.withColumn("fold", F.pmod(F.col("_before") + F.col("_rank") - 1, F.lit(k)).cast("int")).select(*df.columns, "fold")
+
+
 def sample_rows(df: DataFrame, key: str, size: int, seed: int | str = SEED) -> DataFrame:
     """Exactly min(size, n) rows, without sorting the table."""
     hashed = df.withColumn("_hash", sampling.hash32(F.col(key), seed)).withColumn("_all", F.lit(1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import audit, clean, fill, impute, quality, softboost
 from trackloom.schemas import RAW_TRACK_COLUMNS, RAW_TRACKS, REGRESSION_TARGETS
+from trackloom.plans.stages import run_stages
 from trackloom.session import cut_lineage
 from trackloom.sources import io
 
@@ -15,6 +16,7 @@ from trackloom.sources import io
 class PreImputation:
     table: DataFrame
     report: DataFrame
+    dtypes: DataFrame
 
 
 def pre_imputation(raw: DataFrame) -> PreImputation:
@@ -38,7 +40,9 @@ def pre_imputation(raw: DataFrame) -> PreImputation:
         .unionByName(stage(fill.fill_counts(filled), "deterministic_fill"))
         .unionByName(stage(defaulted, "default_fill"))
         .unionByName(stage(quality.profile(table), "final")))
-    return PreImputation(table, report)
+    dtypes = quality.dtypes_report(raw).withColumn("stage", F.lit("raw")).unionByName(
+        quality.dtypes_report(table).withColumn("stage", F.lit("final")))
+    return PreImputation(table, report, dtypes.select("stage", "column", "dtype"))
 
 
 def run_pre_imputation(spark: SparkSession, input_path: str, output_path: str, report_path: str) -> DataFrame:
@@ -47,6 +51,7 @@ def run_pre_imputation(spark: SparkSession, input_path: str, output_path: str, r
     io.write_table(result.table, output_path)
     report = cut_lineage(result.report)
     io.write_json_report(report.orderBy("stage", "metric", "column"), report_path)
+    io.write_json_report(result.dtypes.orderBy("stage", "column"), f"{report_path}_dtypes")
     return report
 
 
@@ -77,6 +82,38 @@ def impute_all(flagged: DataFrame, key: str, params: impute.TreeParams = impute.
     return table, report
 
 
+def run_chain(spark: SparkSession, input_path: str, folder: str, key: str = "row_id",
+              params: impute.TreeParams = impute.TreeParams(),
+              boost: softboost.BoostParams | softboost.LinearParams = softboost.BoostParams(),
+              order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw tracks to the finished table, a stage at a time, restartable: (table, counts).
+
+    Stages: deterministic cleaning, flags with a row key, one per imputed target
+    (regression targets in ``order``, mode, key, tempo), and the final spelling and
+    types. Every stage's table stays below ``folder``; a run that was stopped goes on
+    after the last one that was committed. Rows get their key once, from the table
+    that the first stage wrote, so a resumed run knows them by the same keys.
+    """
+    known = impute.targets()
+
+    def one(name):
+        def fill(df):
+            done = softboost.impute_key(df, key, boost) if name == "key" else impute.impute(df, known[name], key, params)
+            return done.table
+        return fill
+
+    targets = [*(order or REGRESSION_TARGETS), "mode", "key", "tempo"]
+    raw = io.read_table(spark, input_path, schema=RAW_TRACKS, columns=RAW_TRACK_COLUMNS)
+    stages = [("cleaned", lambda df: pre_imputation(df).table),
+              ("keyed", lambda df: df.withColumn(key, F.monotonically_increasing_id())),
+              ("flagged", clean.add_missing_flags),
+              *[(f"imputed_{name}", one(name)) for name in targets],
+              ("finished", clean.postprocess_final)]
+    table = run_stages(spark, raw, stages, folder)
+    before = run_stages(spark, raw, stages[:-1], folder)
+    return table, clean.postprocess_report(before, table)
+
+
 def finish(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(finished table, its postprocess counts, the audit of what came in)."""
     finished = clean.postprocess_final(df)
