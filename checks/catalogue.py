@@ -8,7 +8,7 @@ from trackloom.operators import ingest
 from trackloom.plans.catalogue import load_catalogue
 from trackloom.session import cut_lineage, shared_folder
 from trackloom.sources import io
-from trackloom.sources.adapters import catalogue_source, similar_wide
+from trackloom.sources.adapters import catalogue_source, similar_wide, table
 
 SONGS = """songs AS (SELECT CAST(p_partkey AS VARCHAR) AS song_id, p_name AS song_name, p_brand AS artist_name,
   p_type AS genre FROM part)"""
@@ -55,7 +55,7 @@ def broken(spark, d):
 
 def _messy_source(spark, d):
     """Catalogue rows with blanks, long ids and repeated ids, from the documents."""
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents")
     n = F.col("doc_id")
     return docs.select(
         F.when(n % 9 == 0, F.lit("  ")).when(n % 9 == 1, F.repeat(F.concat(n.cast("string"), F.lit("-")), 60))

@@ -1,4 +1,10 @@
-"""Views of the benchmark tables as track, catalogue and request tables."""
+"""Views of the benchmark tables as track, catalogue and request tables.
+
+Each benchmark table is one file with one row group, which a single task must read. A
+session that sets ``trackloom.adapters.partitions`` has its rows dealt to that many
+partitions behind the scan, as tables of many row groups have by themselves; the
+library's readers (``io``) never do that.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -6,14 +12,19 @@ from pyspark.sql import functions as F
 from trackloom.schemas import NEIGHBOURS_PER_SONG, RAW_TRACK_COLUMNS
 
 
+DEALT = "trackloom.adapters.partitions"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    found = spark.read.parquet(f"{folder}/{name}.parquet")
+    parts = spark.conf.get(DEALT, None)
+    return found.repartition(int(parts)) if parts else found
 
 
 def dirty_tracks(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as track rows with gaps; ``row_id`` is unique and orders them."""
     line = table(spark, folder, "lineitem")
-    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+    part = spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_retailprice")
     col = F.col
 
     def unless(condition, value):
@@ -58,7 +69,7 @@ def catalogue_source(spark: SparkSession, folder: str) -> DataFrame:
 
 def similar_wide(spark: SparkSession, folder: str) -> DataFrame:
     """Five made-up neighbours per part, spread evenly over all parts."""
-    part = table(spark, folder, "part")
+    part = spark.read.parquet(f"{folder}/part.parquet")
     total = part.agg(F.count(F.lit(1))).scalar()
     return part.select(
         F.col("p_partkey").cast("string").alias("track_id"),
