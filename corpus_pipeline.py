@@ -36,7 +36,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each written before the next reads it."""
+    """The stages in order over documents, each written before the next reads it.
+
+    Null, empty and blank texts go in the first stage, as too short; so no stage after
+    it meets one. Rows that share a doc_id are one document to the second stage, which
+    keeps one of them; rows without one stay unless the first stage rejects them. Ties
+    go by the smaller doc_id. Extra columns pass through to the last stage, whatever
+    their names. Empty documents give an empty result; without labels no rule is learned.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
