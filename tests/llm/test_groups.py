@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import differences, oracle
@@ -147,3 +148,16 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         held = stage(spark, held, SF)
         assert held.columns == docs.columns
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path, odd_docs, odd_texts):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folders = {"empty": odd_docs.limit(0), "odd": odd_docs.withColumn("_row", F.lit("clash"))}
+    for name, docs in folders.items():
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    found = {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").select("doc_id").distinct().collect()}
+    judged = quality_rules.judged(odd_docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    good = {r["doc_id"] for r in judged.where("kept").collect()}
+    assert found == {i for i, (_, head) in plain_groups({k: v for k, v in odd_texts.items() if k in good}, 80).items() if i == head}
