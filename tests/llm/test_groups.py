@@ -80,6 +80,25 @@ def test_an_id_with_several_texts_keeps_all_its_links(spark):
     assert {(r["doc_id"], r["component_id"]) for r in near_dedup.duplicate_groups(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_further_centres_settle_a_bucket(spark):
+    """Two members link past the first centre: the next centres find it, all pairs are
+    tried once, and nothing is left to the exact filter."""
+    texts = {k: " ".join(f"t{k}w{j}" for j in range(60)) for k in (1, 2, 3)}
+    texts[4] = texts[3] + " more"
+    docs = spark.createDataFrame(list(texts.items()), "node long, text string")
+    sets = docs.mapInArrow(near_dedup._setter(5), "node long, part long, shingles binary")
+    members = spark.createDataFrame([(7, k, 56, 1) for k in texts] + [(8, 1, 56, 1), (8, 2, 56, 1)],
+                                    "bucket long, node long, n long, centre long")
+    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    tried = near_dedup.confirmed(pairs, sets, 80)
+    left, tried, joined = near_dedup._more_stars(members, tried, near_dedup.components(tried.where("linked").select("a", "b")),
+                                                 sets, 80)
+    pairs = sorted((r["a"], r["b"]) for r in tried.collect())
+    assert pairs == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+    assert [(r["node"], r["component"]) for r in joined.collect()] == [(4, 3)]  # a root has no row
+    assert near_dedup._open(left, joined).count() == 0
+
+
 def test_tables_do_not_pile_up(spark):
     """What a job wrote on its way is gone with it; only its result stays."""
     folder = shared_folder(spark)

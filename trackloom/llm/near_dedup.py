@@ -5,8 +5,9 @@ by digest. Each remaining set is hashed once; the hashes fall into bins, ROWS fo
 the least of each bin is its signature value, an empty bin taking the value of
 a full one by optimal densification. ROWS values make a band, and sets that
 share a band share a bucket. A bucket compares its members with one centre, so
-it gives as many candidate pairs as it has members. Where a bucket then still
-holds several components, its members are compared further (see _finish).
+it gives as many candidate pairs as it has members. Where its other members then
+still lie in several components, the next centre follows, a few times, and what
+is left open is compared further (see _finish).
 Every candidate pair is confirmed on full sets.
 """
 
@@ -27,6 +28,9 @@ BANDS = 56
 ROWS = 7
 SHINGLE = 5
 THRESHOLD = 80
+# Centres that a bucket compares its members with before the exact filter takes
+# what is then still open.
+STARS = 4
 # Words whose hashes a task remembers; the store is emptied when it is full.
 REMEMBERED = 1 << 20
 
@@ -233,10 +237,36 @@ def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
     return placed.join(main, "bucket")
 
 
+def _more_stars(members: DataFrame, tried: DataFrame, joined: DataFrame, sets: DataFrame,
+                threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members whose pairs are not all settled, the pairs tried and the components.
+
+    All pairs of a bucket's centre are tried, so it leaves the bucket, and a bucket
+    whose other members share a component is settled. In the open ones the least
+    member left is the next centre and meets the members of other components.
+    """
+    members = members.where("node <> centre").select("bucket", "node", "n")
+    for _ in range(STARS - 1):
+        with Scope(members.sparkSession) as scope:
+            here = _open(members, joined)
+            first = here.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("c"))
+            star = cut_lineage(here.join(first, "bucket").select("bucket", "node", "n", "component", "c"))
+            members = scope.keep(star.where("node <> c.node").select("bucket", "node", "n"))
+            met = star.where("component <> c.component").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+            fresh = cut_lineage(met.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+            if members.isEmpty():
+                break
+            found = scope.keep(confirmed(fresh, sets, threshold))
+        tried = tried.union(found)
+        if not found.where("linked").isEmpty():
+            joined = components(tried.where("linked").select("a", "b"))
+    return members, tried, joined
+
+
 def _finish(members: DataFrame, tried: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Components after the stars, with every link that the stars missed.
 
-    Members of buckets that still hold several components are dealt anew by
+    Members of buckets that further centres leave open are dealt anew by
     their rare shingles, an exact filter that a shared passage does not pass.
     There, members outside the largest component become centres in turn, some of
     each bucket at first and more each round, and meet the members of other
@@ -244,6 +274,7 @@ def _finish(members: DataFrame, tried: DataFrame, sets: DataFrame, threshold: in
     others share, rule a link out are not compared.
     """
     joined = components(tried.where("linked").select("a", "b"))
+    members, tried, joined = _more_stars(members, tried, joined, sets, threshold)
     nodes = cut_lineage(_open(members, joined).select("node").distinct())
     if nodes.isEmpty():
         return joined
@@ -316,7 +347,7 @@ def _groups(docs: DataFrame, threshold: int, width: int, bands: int, rows: int,
                        .dropDuplicates(["node", "part"]))
 
     tried = cut_lineage(confirmed(pairs, sets, threshold))
-    joined = _finish(members.select("bucket", "node", "n"), tried, sets, threshold)
+    joined = _finish(members, tried, sets, threshold)
 
     labelled = cut_lineage(groups.join(joined, "node", "left")
                            .select(*digest, F.coalesce("component", "node").alias("component_id")))
