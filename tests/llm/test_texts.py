@@ -260,6 +260,24 @@ def test_byte_bpe(some_docs, no_docs, plain):
     assert byte_bpe.digests(no_docs, BYTE_BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_words_of_all_lengths(spark, monkeypatch):
+    """Invented words, one above LONG bytes, with a store that is emptied on the way."""
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 40)
+    rng = np.random.default_rng(5)
+    alphabet = np.array(list("aaeionrstlcdz\u00e9\u4e2d"))
+    texts = [" ".join("".join(rng.choice(alphabet, size)) for size in rng.integers(1, 60, 30)) for _ in range(40)]
+    texts.append("".join(rng.choice(alphabet, byte_bpe.LONG)) + "b" + " ab" * 50 + " " + "a" * 300)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(BYTE_BPE),
+                                 special_tokens={})
+    monkeypatch.setattr(byte_bpe, "prepare", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    coded = byte_bpe.encode(docs, BYTE_BPE, public_tokenizers.PATTERN)
+    found = {r["doc_id"]: r for r in byte_bpe.decode(coded, BYTE_BPE).collect()}
+    for i, text in enumerate(texts):
+        assert np.frombuffer(found[i]["ids"], "<u4").tolist() == encoding.encode_ordinary(text), i
+        assert bytes(found[i]["decoded"]) == text.encode(), i
+
+
 def test_token_counts(some_docs, no_docs, plain):
     tokenizer = Tokenizer.from_file(WORD_BPE)
     found = by_id(token_counts.token_counts(some_docs, WORD_BPE))

@@ -1,11 +1,12 @@
 """Byte-level BPE by Spark higher-order functions over distinct words.
 
 A task meets its texts in order and numbers each distinct word once. The words
-go through one column expression that folds ranked merges over their bytes; the
-rank map is a literal of the plan, an array of small maps found by a checksum.
-Then the ids of the words are put in each text's order. A word's bytes are held
-as a string with one letter U+0000..U+00FF per byte. All of this is one stage
-without a shuffle, so its memory is that of the distinct words of a task.
+go through one column expression that folds ranked merges over their byte arrays.
+The fold's state is the pieces of a word and the rank of each pair of neighbours;
+a merge looks up only the two ranks beside it. The rank map is a literal of the
+plan, in small buckets. Then the ids of the words are put in each text's order.
+All of this is one stage without a shuffle; a task forgets its words whenever it
+holds REMEMBERED of them, so its memory has a bound.
 """
 
 import base64
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import prepare, texts
 
 # Distinct chunks that a task holds; beyond that, numbering starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
+# Words of more bytes merge all equal pairs in a step: taking out one pair at a
+# time copies the state once a merge.
+LONG = 2048
 BUCKETS = 1 << 16
 # Around each piece of a word while it is merged; no byte has these letters.
 OPEN, CLOSE = "Ā", "ā"
@@ -46,20 +50,89 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
+def pair_map(ranks: dict[bytes, int]) -> tuple[Column, int]:
+    """Literal map from two neighbours to the rank of their join, and its bucket mask.
+
+    Bucket b has the ids r with their joins' ranks of all l and r that fall
+    into it. _place is odd in l and there are more buckets than ids, so within a
+    bucket r tells l.
+    """
+    mask = (1 << (max(ranks.values()) + 2).bit_length()) - 1
+    keys: list[list[int]] = [[] for _ in range(mask + 1)]
+    joins: list[list[int]] = [[] for _ in range(mask + 1)]
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                place = _place(left, right) & mask
+                keys[place].append(right)
+                joins[place].append(rank)
+    singles = [ranks[bytes([b])] for b in range(256)]
+    held = {"keys": keys, "joins": joins, "singles": singles}
+    return F.from_json(F.lit(json.dumps(held)), "keys array<array<int>>, joins array<array<int>>, singles array<int>"), mask
+
+
+def _place(left, right):
+    """Bucket of two ids before its mask; below 2**31 for ids below 2**18."""
+    return left * 7919 + right
+
+
 def _bound(value: Column, use) -> Column:
     """use(value), with value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def encoded(letters: Column, ranks: Column) -> Column:
-    """_encoded, with the literal once in the plan."""
-    return _bound(ranks, lambda held: _encoded(letters, held))
+def encoded(letters: Column, bytes_: Column, ranks: Column, pairs: Column, mask: int) -> Column:
+    """Ids of a word: its own rank if it has one, else its merged bytes. The
+    literals stand once in the plan."""
+    def ids(held: Column) -> Column:
+        short = _bound(pairs, lambda p: _merged(bytes_, p, mask))
+        return F.when(F.size(bytes_) > LONG, _merged_letters(letters, held)).otherwise(short)
+
+    return _bound(ranks, lambda held: _bound(
+        F.element_at(F.get(held, (F.crc32(letters) % BUCKETS).cast("int")), letters),
+        lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids(held))))
+
+
+def _merged(bytes_: Column, pairs: Column, mask: int) -> Column:
+    """Ids of a word given as its bytes. Each step merges the leftmost neighbours
+    of least rank, until no neighbours have a rank.
+
+    The state has an id of -1, which joins with nothing, at both ends, so that a
+    merge always has neighbours; ranks[k] belongs to ids[k] and ids[k + 1].
+    """
+    def rank(left: Column, right: Column) -> Column:
+        place = _place(left, right).bitwiseAND(F.lit(mask))
+        at = F.array_position(F.get(pairs["keys"], place), right).cast("int") - 1
+        return F.coalesce(F.get(F.get(pairs["joins"], place), at), F.lit(NONE))
+
+    def start(ids: Column) -> Column:
+        n = F.size(ids) - 1
+        ranks = F.zip_with(F.slice(ids, F.lit(1), n), F.slice(ids, F.lit(2), n), rank)
+        return F.struct(ids.alias("ids"), ranks.alias("ranks"))
+
+    def step(held: Column, _: Column) -> Column:
+        ids, ranks = held["ids"], held["ranks"]
+
+        def merge(at: Column) -> Column:
+            joined = F.get(ranks, at - 1)
+            rest = F.size(ids)
+            beside = F.array(rank(F.get(ids, at - 2), joined), rank(joined, F.get(ids, at + 1)))
+            return F.when(joined == NONE, held).otherwise(F.struct(
+                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(joined), F.slice(ids, at + 2, rest)).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), at - 2), beside, F.slice(ranks, at + 2, rest)).alias("ranks")))
+
+        return _bound(F.array_position(ranks, F.array_min(ranks)).cast("int"), merge)
 
+    end = F.array(F.lit(-1))
+    first = F.concat(end, F.transform(bytes_, lambda b: F.get(pairs["singles"], b)), end)
+    return F.aggregate(F.sequence(F.lit(1), F.size(bytes_)), _bound(first, start), step,
+                       lambda held: F.slice(held["ids"], F.lit(2), F.size(held["ids"]) - 2))
 
-def _encoded(letters: Column, ranks: Column) -> Column:
-    """Ids of a word given in byte letters: the word itself if it has a rank, else
-    its bytes, of which each step merges the neighbours of least rank, all of that
-    pair from the left, until no neighbours have a rank."""
+
+def _merged_letters(letters: Column, ranks: Column) -> Column:
+    """Ids of a long word given in byte letters: each step merges the neighbours of
+    least rank, all of that pair from the left, until no neighbours have a rank."""
 
     def rank(x: Column) -> Column:
         return F.element_at(F.get(ranks, (F.crc32(x) % BUCKETS).cast("int")), x)
@@ -81,8 +154,7 @@ def _encoded(letters: Column, ranks: Column) -> Column:
         return F.when(held["done"], held).otherwise(_bound(best(parts(held["s"])), merge))
 
     start = F.struct(F.regexp_replace(letters, "(?s)(.)", f"{OPEN}$1{CLOSE}").alias("s"), F.lit(False).alias("done"))
-    merged = F.aggregate(F.sequence(F.lit(1), F.length(letters)), start, step, lambda held: F.transform(parts(held["s"]), rank))
-    return _bound(rank(letters), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(merged))
+    return F.aggregate(F.sequence(F.lit(1), F.length(letters)), start, step, lambda held: F.transform(parts(held["s"]), rank))
 
 
 def _numberer(pattern: str):
@@ -106,43 +178,63 @@ def _numberer(pattern: str):
                             number = words.get(word)
                             if number is None:
                                 number = words[word] = len(words)
-                                fresh.append(word.encode().decode("latin-1"))
+                                fresh.append(word.encode())
                             numbers.append(number)
                         chunks[chunk] = np.array(numbers, "<i4").tobytes()
                 refs.append(b"".join(map(chunks.__getitem__, found)))
             kind = batch.column(0).type
             if reset:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.string())],
-                                                 ["doc_id", "refs", "word"])
+                yield _message(pa.nulls(1, kind), [None], [None])
             if fresh:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(fresh), kind), pa.nulls(len(fresh), pa.binary()),
-                                                  pa.array(fresh, pa.string())], ["doc_id", "refs", "word"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(refs, pa.binary()), pa.nulls(len(refs), pa.string())],
-                                             ["doc_id", "refs", "word"])
+                yield _message(pa.nulls(len(fresh), kind), [None] * len(fresh), fresh)
+            yield _message(batch.column(0), refs, [None] * len(refs))
 
     return run
 
 
-def _gather(batches):
-    table: list[bytes] = []
-    for batch in batches:
-        lists = batch.column(2)
-        owner, out = [], []
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4") if len(lists) else np.empty(0, "<u4")
-        at = 0
-        sizes = lists.value_lengths().to_pylist()
-        for row, (refs, size) in enumerate(zip(batch.column(1).to_pylist(), sizes)):
-            if refs is not None:
-                owner.append(row)
-                out.append(b"".join(map(table.__getitem__, np.frombuffer(refs, "<i4").tolist())))
-            elif size is None:
-                table.clear()
-            else:
-                table.append(flat[at:at + size].tobytes())
-                at += size
-        if owner:
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(out, pa.binary())],
-                                             ["doc_id", "ids"])
+def _message(ids: pa.Array, refs: list, words: list) -> pa.RecordBatch:
+    """Rows for texts (refs), for fresh words, or, without either, to forget all words."""
+    ends = np.cumsum([0, *(len(word or b"") for word in words)], dtype=np.int32)
+    flat = np.frombuffer(b"".join(word or b"" for word in words), np.uint8).astype(np.int32)
+    letters = [None if word is None else word.decode("latin-1") for word in words]
+    return pa.RecordBatch.from_arrays([ids, pa.array(refs, pa.binary()), pa.array(letters, pa.string()),
+                                       pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                                      ["doc_id", "refs", "word", "bytes"])
+
+
+def _gather(path: str | None = None):
+    """Ids of each text; with a rank file, also their bytes."""
+    def run(batches):
+        by_rank = {rank: token for token, rank in read_ranks(path).items()} if path else {}
+        table: list[bytes] = []
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4") if len(lists) else np.empty(0, "<u4")
+            owner, out, at = [], [], 0
+            for row, (refs, size) in enumerate(zip(batch.column(1).to_pylist(), lists.value_lengths().to_pylist())):
+                if refs is not None:
+                    owner.append(row)
+                    out.append(b"".join(map(table.__getitem__, np.frombuffer(refs, "<i4").tolist())))
+                elif size is None:
+                    table.clear()
+                else:
+                    table.append(flat[at:at + size].tobytes())
+                    at += size
+            if owner:
+                found = [batch.column(0).take(pa.array(owner)), pa.array(out, pa.binary())]
+                names = ["doc_id", "ids"]
+                if path:
+                    found.append(_pieces(out, by_rank))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(found, names)
+
+    return run
+
+
+def _pieces(ids: list[bytes | None], by_rank: dict[int, bytes]) -> pa.Array:
+    """The bytes of the ids of each row, one after the other."""
+    return pa.array([None if raw is None else b"".join(map(by_rank.__getitem__, np.frombuffer(raw, "<u4").tolist()))
+                     for raw in ids], pa.binary())
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -153,21 +245,28 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     vocabularies does. A null text has no ids; repeated rows, null ids and other
     columns change nothing.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _found(docs, path, pattern).mapInArrow(_gather(), f"doc_id {kind}, ids binary")
+
+
+def _found(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and refs (numbers of words) of each text, and before them the ids of
+    the words that are new to the task."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranks = rank_map(read_ranks(path))
-    numbered = docs.select("doc_id", "text").mapInArrow(_numberer(pattern), f"doc_id {kind}, refs binary, word string")
-    found = numbered.select("doc_id", "refs", F.when(F.col("word").isNotNull(), encoded(F.col("word"), ranks)).alias("ids"))
-    return found.mapInArrow(_gather, f"doc_id {kind}, ids binary")
+    ranks = read_ranks(path)
+    ids = encoded(F.col("word"), F.col("bytes"), rank_map(ranks), *pair_map(ranks))
+    return (docs.select("doc_id", "text")
+            .mapInArrow(_numberer(pattern), f"doc_id {kind}, refs binary, word string, bytes array<int>")
+            .select("doc_id", "refs", F.when(F.col("word").isNotNull(), ids).alias("ids")))
 
 
 def _decoder(path: str):
     def run(batches):
         by_rank = {rank: token for token, rank in read_ranks(path).items()}
         for batch in batches:
-            out = [None if raw is None else b"".join(map(by_rank.__getitem__, np.frombuffer(raw, "<u4").tolist()))
-                   for raw in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _pieces(batch.column(1).to_pylist(), by_rank)],
+                                             ["doc_id", "ids", "decoded"])
 
     return run
 
@@ -179,7 +278,9 @@ def decode(encoded_docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    done = decode(encode(docs, path, pattern), path)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ids are decoded in
+    the worker that puts them in order."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    done = _found(docs, path, pattern).mapInArrow(_gather(path), f"doc_id {kind}, ids binary, decoded binary")
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
