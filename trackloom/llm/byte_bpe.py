@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import prepare, texts
 
 # Distinct chunks that a task holds; beyond that, numbering starts anew.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 # Words of more bytes merge all equal pairs in a step: taking out one pair at a
 # time copies the state once a merge.
 LONG = 2048
@@ -82,16 +82,21 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def encoded(letters: Column, bytes_: Column, ranks: Column, pairs: Column, mask: int) -> Column:
-    """Ids of a word: its own rank if it has one, else its merged bytes. The
-    literals stand once in the plan."""
-    def ids(held: Column) -> Column:
-        short = _bound(pairs, lambda p: _merged(bytes_, p, mask))
-        return F.when(F.size(bytes_) > LONG, _merged_letters(letters, held)).otherwise(short)
+def encoded(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Adds ids to rows with word (byte letters) and bytes (its byte array): the
+    word's own rank if it has one, else its merged bytes; null without a word."""
+    letters, bytes_ = F.col("word"), F.col("bytes")
+    own = F.element_at(F.get(rank_map(ranks), (F.crc32(letters) % BUCKETS).cast("int")), letters)
+    pairs, mask = pair_map(ranks)
+    ids = (F.when(letters.isNull(), F.lit(None)).when(F.col("_own").isNotNull(), F.array("_own"))
+           .when(F.size(bytes_) > LONG, _bound(rank_map(ranks), lambda held: _merged_letters(letters, held)))
+           .otherwise(_bound(pairs, lambda held: _merged(bytes_, held, mask))))
+    return words.withColumn("_own", own).withColumn("ids", ids).drop("_own")
 
-    return _bound(ranks, lambda held: _bound(
-        F.element_at(F.get(held, (F.crc32(letters) % BUCKETS).cast("int")), letters),
-        lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids(held))))
+
+def _chained(*arrays: Column) -> Column:
+    """concat, which costs more where it isn't compiled, as inside a fold."""
+    return F.flatten(F.array(*arrays))
 
 
 def _merged(bytes_: Column, pairs: Column, mask: int) -> Column:
@@ -119,8 +124,8 @@ def _merged(bytes_: Column, pairs: Column, mask: int) -> Column:
             rest = F.size(ids)
             beside = F.array(rank(F.get(ids, at - 2), joined), rank(joined, F.get(ids, at + 1)))
             return F.when(joined == NONE, held).otherwise(F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(joined), F.slice(ids, at + 2, rest)).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), at - 2), beside, F.slice(ranks, at + 2, rest)).alias("ranks")))
+                _chained(F.slice(ids, F.lit(1), at - 1), F.array(joined), F.slice(ids, at + 2, rest)).alias("ids"),
+                _chained(F.slice(ranks, F.lit(1), at - 2), beside, F.slice(ranks, at + 2, rest)).alias("ranks")))
 
         return _bound(F.array_position(ranks, F.array_min(ranks)).cast("int"), merge)
 
@@ -254,11 +259,9 @@ def _found(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     the words that are new to the task."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranks = read_ranks(path)
-    ids = encoded(F.col("word"), F.col("bytes"), rank_map(ranks), *pair_map(ranks))
-    return (docs.select("doc_id", "text")
-            .mapInArrow(_numberer(pattern), f"doc_id {kind}, refs binary, word string, bytes array<int>")
-            .select("doc_id", "refs", F.when(F.col("word").isNotNull(), ids).alias("ids")))
+    numbered = docs.select("doc_id", "text").mapInArrow(
+        _numberer(pattern), f"doc_id {kind}, refs binary, word string, bytes array<int>")
+    return encoded(numbered, read_ranks(path)).select("doc_id", "refs", "ids")
 
 
 def _decoder(path: str):
