@@ -49,6 +49,17 @@ def test_pruning_skips_far_cells(spark):
     assert {(r["source"], r["target"], r["rank"]) for r in got.collect()} == brute(list(range(len(matrix))), matrix, 2)
 
 
+def test_a_vector_is_sent_to_tiles_not_to_blocks(spark, monkeypatch):
+    """In many dimensions nothing is ruled out; 100 blocks must not mean 100 copies."""
+    matrix = np.random.default_rng(7).normal(size=(600, 16))
+    written, cut = [], neighbours.cut_lineage
+    monkeypatch.setattr(neighbours, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    got = neighbours.cosine_top_k(vectors(spark, matrix), 3, block_rows=6)
+    assert {(r["source"], r["target"], r["rank"]) for r in got.collect()} == brute(list(range(600)), matrix, 3)
+    sent = [df for df in written if "to_tiles" in df.columns]
+    assert sent and sent[0].agg(F.max(F.size("to_tiles"))).scalar() <= neighbours.TILES + 1
+
+
 def test_fewer_rows_than_k(spark):
     got = neighbours.cosine_top_k(vectors(spark, np.eye(3)), 5)
     assert got.count() == 6

@@ -6,14 +6,18 @@ Published idea: pivot partitioning for kNN joins (Lu et al., VLDB 2012).
 2. Vectors go to the cell of their nearest pivot and to blocks of bounded size.
    Ranking inside the own block gives each vector a bound on its k-th best.
 3. The triangle inequality rules out every cell that cannot beat the bound; a
-   vector visits only the blocks of the cells that remain.
+   vector visits only the tiles (runs of blocks) with cells that remain, once each.
 
-Every task holds two blocks, whatever the skew, and only local winners are
-shuffled. No candidate is dropped except by proof, so the result is exact.
+Every task holds two tiles, whatever the skew, and only local winners are
+shuffled besides. No candidate is dropped except by proof, so the result is exact.
+Where nothing can be ruled out, every vector is sent to every tile: to TILES of
+them, up to TILES * TILE_VALUES numbers in all, and beyond that to as many tiles as
+bounded memory takes.
 """
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +29,12 @@ from trackloom.session import cut_lineage
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 1024
+# Tiles are what meets in a task: so many, or more where one would hold more numbers.
+TILES = 12
+TILE_VALUES = 1 << 23
+# Sources and targets scored at once inside a task.
+STRIP = 1024
+CHUNK = 4096
 # Cosines are compared at this many decimals, so that the order of equal ones
 # is by id and does not hang on the last bits of a sum.
 COSINE_DECIMALS = 12
@@ -39,18 +49,6 @@ def unit_vector(column: str) -> "F.Column":
     return F.transform(v, lambda x: x / safe + F.lit(0.0))
 
 
-def _winners(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best per row; equal scores by column order."""
-    k = min(k, scores.shape[1])
-    floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    rows, cols = np.nonzero(scores >= floor[:, None])
-    order = np.lexsort((cols, -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, np.arange(scores.shape[0]))
-    keep = np.arange(len(rows)) - starts[rows] < k
-    return rows[keep], cols[keep]
-
-
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy())
 
@@ -110,66 +108,111 @@ def cosine_top_k(df: DataFrame, k: int, id_column: str = "id", vector_column: st
 
 def _group_hits(groups: DataFrame, n: int, k: int, block_rows: int, max_pivots: int, id_type: str) -> DataFrame:
     """(rid, cosine, other): at least the k best other groups of each group."""
-    cells_wanted = min(max(1, n // block_rows), max_pivots)
-    blocked, cells = _assign(groups.select("rid", "unit", "ids"), cells_wanted, n, block_rows)
-    hit_type = f"array<struct<cosine:double,other:array<{id_type}>>>"
-    schema = f"rid {id_type}, unit array<double>, cell int, block int, bound double, hits {hit_type}"
-
-    def own_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rid", ignore_index=True)
-        unit = _matrix(pdf["unit"])
-        scores = np.round(unit @ unit.T, COSINE_DECIMALS)
-        np.fill_diagonal(scores, -np.inf)
-        rows, cols = _winners(scores, k)
-        values, ids = scores[rows, cols], pdf["ids"].to_numpy()
-        hits = [[] for _ in range(len(pdf))]
-        bound = np.full(len(pdf), -np.inf)
-        for r, c, v in zip(rows, cols, values):
-            if v > -np.inf:
-                hits[r].append({"cosine": v, "other": ids[c]})
-                if len(hits[r]) == k:
-                    bound[r] = v
-        return pdf[["rid", "unit", "cell", "block"]].assign(bound=bound, hits=hits)
-
-    local = blocked.groupBy("cell", "block").applyInPandas(own_block, schema)
-    exploded = "inline(hits)"
-    if cells is None:
-        return local.select("rid", F.expr(exploded))
-
-    local = cut_lineage(local)
-    visits = local.drop("hits").mapInPandas(
-        _visits(cells), f"rid {id_type}, unit array<double>, bound double, cell int, block int, to_cell int, to_block int")
-    data = blocked.withColumnsRenamed({"cell": "to_cell", "block": "to_block", "rid": "other_rid", "unit": "other_unit"})
-    key = ["to_cell", "to_block", "cell", "block"]
-    routes = visits.select(*key).distinct()
-
-    def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"rid": [], "cosine": [], "other": []})
-        right = right.sort_values("other_rid", ignore_index=True)
-        scores = np.round(_matrix(left["unit"]) @ _matrix(right["other_unit"]).T, COSINE_DECIMALS)
-        rows, cols = _winners(scores, k)
-        values = scores[rows, cols]
-        keep = values >= left["bound"].to_numpy()[rows] - _SLACK
-        rows, cols, values = rows[keep], cols[keep], values[keep]
-        return pd.DataFrame({"rid": left["rid"].to_numpy()[rows], "cosine": values,
-                             "other": right["ids"].to_numpy()[cols]})
-
-    routed = data.join(routes, ["to_cell", "to_block"])
+    rows = groups.select("rid", "unit", "ids")
+    if n <= block_rows:
+        open_cells = None
+        placed = rows.withColumns({"cell": F.lit(0), "tile": F.lit(0), "bound": F.lit(float("-inf")),
+                                   "to_tiles": F.array(F.lit(0))})
+    else:
+        blocked, cells = _assign(rows, min(max(1, n // block_rows), max_pivots), block_rows)
+
+        def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
+            unit = _matrix(pdf["unit"])
+            scores = np.round(unit @ unit.T, COSINE_DECIMALS)
+            np.fill_diagonal(scores, -np.inf)
+            found = np.partition(scores, -k, axis=1)[:, -k] if k < len(pdf) else np.full(len(pdf), -np.inf)
+            return pdf.assign(bound=found)
+
+        schema = f"rid {id_type}, unit array<double>, ids array<{id_type}>, cell int, block int, bound double"
+        bounded = blocked.groupBy("cell", "block").applyInPandas(bounds, schema)
+        width = rows.select(F.size("unit")).first()[0]
+        tile_rows = min(max(block_rows, -(-n // TILES)), max(block_rows, TILE_VALUES // max(width, 1)))
+        open_cells, to_tiles = _routes(cells, tile_rows)
+        placed = cut_lineage(bounded.mapInPandas(
+            to_tiles, f"rid {id_type}, unit array<double>, ids array<{id_type}>, cell int, bound double, tile int, to_tiles array<int>"))
+
+    visits = placed.select("rid", "unit", "cell", "bound", "tile", F.explode("to_tiles").alias("to_tile"))
+    # One row for each two tiles that meet.
+    routes = F.broadcast(placed.select("tile", F.explode("to_tiles").alias("to_tile")).distinct())
+    routed = placed.select(F.col("tile").alias("to_tile"), "rid", "unit", "cell", "ids").join(routes, "to_tile")
     routed = routed.select(*[F.col(c).alias(c) for c in routed.columns])  # keys of its own for the cogroup
-    far = visits.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(
-        across, f"rid {id_type}, cosine double, other array<{id_type}>")
-    return local.select("rid", F.expr(exploded)).unionByName(far)
-
-
-def _assign(groups: DataFrame, cells_wanted: int, n: int, block_rows: int):
-    """Add cell and block. Returns also the cell table, or None for one block."""
-    if cells_wanted == 1:
-        blocks = max(1, -(-n // block_rows))
-        block = (sampling.hash32(F.col("rid")) % blocks).cast("int")
-        if blocks == 1:
-            return groups.withColumns({"cell": F.lit(0), "block": F.lit(0)}), None
-
+    key = ["tile", "to_tile"]
+    return visits.groupBy(*key).cogroup(routed.groupBy(*key)).applyInArrow(
+        _across(k, open_cells), f"rid {id_type}, cosine double, other array<{id_type}>")
+
+
+def _across(k: int, open_cells):
+    """The k best targets of each source of a tile in another (or the same) tile.
+
+    A strip of sources meets the cells that are open to any of them, a bounded number
+    of targets at a time. Single precision only rules out what is below the k-th best
+    by more than its error; the rest is scored in full.
+    """
+    def flat(column: pa.ChunkedArray) -> np.ndarray:
+        return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"rid": left["rid"].slice(0, 0), "cosine": pa.array([], pa.float64()),
+                             "other": right["ids"].slice(0, 0)})
+        left, right = left.sort_by("cell"), right.sort_by([("cell", "ascending"), ("rid", "ascending")])
+        source, target = flat(left["unit"]), flat(right["unit"])
+        rids, others = left["rid"].to_numpy(), right["rid"].to_numpy()
+        place = np.empty(len(others), np.int64)
+        place[np.argsort(others, kind="stable")] = np.arange(len(others))
+        cell, to_cell = left["cell"].to_numpy(), right["cell"].to_numpy()
+        bound = left["bound"].to_numpy()
+        fine, error = target.astype(np.float32), 1.2e-7 * (target.shape[1] + 8)
+        rows, cols, values = [], [], []
+        for low in range(0, len(source), STRIP):
+            part = slice(low, low + STRIP)
+            columns = None
+            if open_cells is not None:
+                columns = np.flatnonzero(open_cells(source[part], cell[part], bound[part], to_cell))
+                if len(columns) == len(target):
+                    columns = None
+            r, c, v = _strip(source[part], rids[part], bound[part], target, fine, others, place, columns, k, error)
+            rows.append(r + low)
+            cols.append(c)
+            values.append(v)
+        return pa.table({"rid": left["rid"].take(pa.array(np.concatenate(rows))),
+                         "cosine": pa.array(np.concatenate(values)),
+                         "other": right["ids"].take(pa.array(np.concatenate(cols)))})
+
+    return run
+
+
+def _strip(source, rids, bound, target, fine, others, place, columns, k, error):
+    """(row, target, cosine) of the k best of every row; equal cosines by id."""
+    single, floor = source.astype(np.float32), bound.copy()
+    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    total = len(target) if columns is None else len(columns)
+    share = max(1, (1 << 22) // target.shape[1])
+    for low in range(0, total, CHUNK):
+        some = np.arange(low, min(low + CHUNK, total)) if columns is None else columns[low:low + CHUNK]
+        scores = single @ (fine[low:low + CHUNK] if columns is None else fine[some]).T
+        least = floor - error
+        if len(some) > 4 * k and np.isneginf(floor).any():
+            least = np.maximum(least, np.partition(scores, -k - 1, axis=1)[:, -k - 1] - 2 * error)
+        close = np.flatnonzero(scores >= least[:, None].astype(np.float32) - np.float32(1e-7))
+        for at in range(0, len(close), share):
+            r, c = np.divmod(close[at:at + share], len(some))
+            c = some[c]
+            v = np.round(np.einsum("ij,ij->i", source[r], target[c]), COSINE_DECIMALS)
+            keep = (v >= floor[r] - _SLACK) & (rids[r] != others[c])
+            r, c, v = (np.concatenate(x) for x in zip(held, (r[keep], c[keep], v[keep])))
+            order = np.lexsort((place[c], -v, r))
+            r, c, v = r[order], c[order], v[order]
+            turn = np.arange(len(r)) - np.searchsorted(r, r)
+            held = r[turn < k], c[turn < k], v[turn < k]
+            last = turn == k - 1
+            floor[r[last]] = np.maximum(floor[r[last]], v[last])
+    return held
+
+
+def _assign(groups: DataFrame, cells_wanted: int, block_rows: int):
+    """Add cell and block. Returns also the pivots and, by cell, its rows, blocks,
+    nearest and farthest distance."""
     # At most max_pivots vectors come to the driver, however large the table is.
     pivots = np.array([r["unit"] for r in groups.orderBy(sampling.hash32(F.col("rid")), "rid")
                        .limit(cells_wanted).select("unit").collect()])
@@ -185,8 +228,8 @@ def _assign(groups: DataFrame, cells_wanted: int, n: int, block_rows: int):
     placed = cut_lineage(groups.mapInPandas(nearest, schema))
     cells = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("gap").alias("near"), F.max("gap").alias("far"))
-    facts = {r["cell"]: (max(1, -(-r["n"] // block_rows)), r["near"], r["far"]) for r in cells.collect()}
-    sizes = F.create_map(*[F.lit(v) for c, (blocks, _, _) in facts.items() for v in (c, blocks)])
+    facts = {r["cell"]: (r["n"], max(1, -(-r["n"] // block_rows)), r["near"], r["far"]) for r in cells.collect()}
+    sizes = F.create_map(*[F.lit(v) for c, (_, blocks, _, _) in facts.items() for v in (c, blocks)])
     block = (sampling.hash32(F.col("rid")) % sizes[F.col("cell")]).cast("int")
     blocked = placed.withColumn("block", block).drop("gap")
     return blocked, (pivots, facts)
@@ -197,41 +240,46 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
-def _visits(cells):
-    """Route each vector to every block, but its own, that may hold a better one."""
+def _routes(cells, tile_rows: int):
+    """A test of the cells that may hold better targets, and a step that adds to
+    batches of rows their tile and the tiles of such cells.
+
+    Tiles are runs of blocks, in the order of their cells, of about ``tile_rows`` rows.
+    """
     pivots, facts = cells
     ids = np.array(sorted(facts))
     pivots = pivots[ids]
-    near = np.array([facts[c][1] for c in ids])
-    far = np.array([facts[c][2] for c in ids])
+    count, blocks, near, far = (np.array([facts[c][i] for c in ids]) for i in range(4))
     between = _distances(pivots, pivots)
-    where = {c: i for i, c in enumerate(ids)}
-    to_cell = np.concatenate([np.full(facts[c][0], c) for c in ids])
-    to_block = np.concatenate([np.arange(facts[c][0]) for c in ids])
-    column = np.array([where[c] for c in to_cell])
+    begin = np.cumsum(count) - count
 
-    def visits(batches):
-        for pdf in batches:
-            for start in range(0, len(pdf), 1024):
-                part = pdf.iloc[start:start + 1024]
-                yield route(part)
-
-    def route(part):
-        gaps = _distances(_matrix(part["unit"]), pivots)
-        home = np.array([where[c] for c in part["cell"]])
-        own = gaps[np.arange(len(part)), home]
+    def tile(at, block):
+        return (begin[at] + block * count[at] // blocks[at]) // tile_rows
+
+    first, last = tile(np.arange(len(ids)), 0), tile(np.arange(len(ids)), blocks - 1)
+    spans = (first[:, None] <= np.arange(last.max() + 1)) & (np.arange(last.max() + 1) <= last[:, None])
+
+    def reached(unit, cell, bound):
+        home = np.searchsorted(ids, cell)
+        gaps = _distances(unit, pivots)
+        own = gaps[np.arange(len(unit)), home]
         apart = between[home]
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = np.where(apart > 0, (gaps ** 2 - own[:, None] ** 2) / (2 * apart), 0.0)
         least = np.maximum.reduce([gaps - far[None, :], near[None, :] - gaps, plane])
-        bound = np.maximum(part["bound"].to_numpy(), -1.0)
-        reach = np.sqrt(2.0 - 2.0 * bound) + 1e-6
-        open_cells = least <= reach[:, None]
-        rows, cols = np.nonzero(open_cells[:, column])
-        away = ~((to_cell[cols] == part["cell"].to_numpy()[rows]) & (to_block[cols] == part["block"].to_numpy()[rows]))
-        rows, cols = rows[away], cols[away]
-        out = part.iloc[rows].reset_index(drop=True)
-        return out[["rid", "unit", "bound", "cell", "block"]].assign(
-            to_cell=to_cell[cols].astype("int32"), to_block=to_block[cols].astype("int32"))
-
-    return visits
+        return least <= (np.sqrt(2.0 - 2.0 * np.maximum(bound, -1.0)) + 1e-6)[:, None]
+
+    def open_cells(unit, cell, bound, to_cell):
+        return reached(unit, cell, bound).any(axis=0)[np.searchsorted(ids, to_cell)]
+
+    def to_tiles(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), STRIP):
+                part = pdf.iloc[start:start + STRIP]
+                found = reached(_matrix(part["unit"]), part["cell"].to_numpy(), part["bound"].to_numpy())
+                met = found.astype(np.float32) @ spans > 0
+                own = tile(np.searchsorted(ids, part["cell"].to_numpy()), part["block"].to_numpy())
+                yield part[["rid", "unit", "ids", "cell", "bound"]].assign(
+                    tile=own.astype("int32"), to_tiles=[np.flatnonzero(x).astype("int32") for x in met])
+
+    return open_cells, to_tiles
