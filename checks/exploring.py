@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from checks.base import hash32_sql
 from checks.catalogue import CATALOGUE, edges, songs
 from trackloom.operators import explore, search
+from trackloom.operators.skew import shuffled
 from trackloom.session import cut_lineage
 from trackloom.sources.adapters import table
 
@@ -187,8 +188,8 @@ def sessions(spark, d):
     chosen = events.where(F.col("event_type") == "click").select("session_id", "id").distinct()
     links = edges(spark, d).where(F.col("neighbor_rank") <= 2)
     seen = (
-        visible.join(links, F.col("id") == F.col("source_song_id"))
-        .join(visible.select(F.col("session_id").alias("s"), F.col("id").alias("t")),
+        visible.join(shuffled(links), F.col("id") == F.col("source_song_id"))
+        .join(shuffled(visible.select(F.col("session_id").alias("s"), F.col("id").alias("t"))),
               (F.col("s") == F.col("session_id")) & (F.col("t") == F.col("target_song_id")))
         .select("session_id", F.concat_ws("__", "source_song_id", "target_song_id").alias("id")).distinct())
     return visible, seen, chosen
@@ -200,7 +201,7 @@ def _expanded(spark, d):
 
 def merged_sessions(spark, d):
     visible, _, _ = sessions(spark, d)
-    old = visible.join(songs(spark, d), F.col("id") == F.col("song_id")).select(
+    old = visible.join(shuffled(songs(spark, d)), F.col("id") == F.col("song_id")).select(
         "session_id", "id", F.row_number().over(W.partitionBy("session_id").orderBy("id")).alias("position"),
         "song_name", F.col("artist_name").alias("artist"), F.lit("old").alias("genre"))
     new_nodes, _, _ = _expanded(spark, d)

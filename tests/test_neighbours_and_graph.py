@@ -57,7 +57,7 @@ def test_a_vector_is_sent_to_tiles_not_to_blocks(spark, monkeypatch):
     got = neighbours.cosine_top_k(vectors(spark, matrix), 3, block_rows=6)
     assert {(r["source"], r["target"], r["rank"]) for r in got.collect()} == brute(list(range(600)), matrix, 3)
     sent = [df for df in written if "to_tiles" in df.columns]
-    assert sent and sent[0].agg(F.max(F.size("to_tiles"))).scalar() <= neighbours.TILES + 1
+    assert sent and sent[0].agg(F.max(F.size("to_tiles"))).first()[0] <= neighbours.TILES + 1
 
 
 def test_fewer_rows_than_k(spark):

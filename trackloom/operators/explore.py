@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import text
 from trackloom.operators import search
+from trackloom.operators.skew import shuffled
 from trackloom.schemas import ARTIST_SEED_CAP, GENRE_SEED_SAMPLE, GRAPH_NODE_CAP, SEED
 from trackloom.session import cut_lineage
 
@@ -24,7 +25,7 @@ def song_neighbourhoods(songs: DataFrame, edges: DataFrame, ids: DataFrame) -> D
     """Existing edges of the distinct song_id in ``ids`` with the target's columns."""
     own = search.edges_of(edges, ids)
     target = songs.select(F.col("song_id").alias("target_song_id"), "song_name", "artist_name", "genre")
-    return own.join(target, "target_song_id")
+    return own.join(shuffled(target), "target_song_id")
 
 
 def seed_from_song(songs: DataFrame, edges: DataFrame, requests: DataFrame,
@@ -35,7 +36,7 @@ def seed_from_song(songs: DataFrame, edges: DataFrame, requests: DataFrame,
     unknown song has status ``not_found`` in meta and no rows elsewhere.
     """
     ids = requests.select("song_id").distinct()
-    known = songs.join(ids, "song_id", "left_semi")
+    known = songs.join(shuffled(ids), "song_id", "left_semi")
     around = song_neighbourhoods(songs, edges, known)
     seed_edges = around.select(F.col("source_song_id").alias("song_id"), "source_song_id", "target_song_id",
                                "neighbor_rank")
@@ -46,18 +47,18 @@ def seed_from_song(songs: DataFrame, edges: DataFrame, requests: DataFrame,
 
     sizes = (
         nodes.groupBy(F.col("seed").alias("song_id")).agg(F.count(F.lit(1)).alias("n_nodes"))
-        .join(seed_edges.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_edges")), "song_id", "left"))
+        .join(shuffled(seed_edges.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_edges"))), "song_id", "left"))
     asked = requests.select("request_id", "song_id")
     node_count = F.coalesce("n_nodes", F.lit(0)).cast("bigint")
-    meta = asked.join(sizes, "song_id", "left").select(
+    meta = asked.join(shuffled(sizes), "song_id", "left").select(
         "request_id", F.lit("song").alias("seed_type"), F.col("song_id").alias("seed_value"),
         node_count.alias("visible_node_count"),
         F.coalesce("n_edges", F.lit(0)).cast("bigint").alias("visible_edge_count"),
         (node_count >= cap).alias("reached_limit"),
         F.when(F.col("n_nodes").isNull(), "not_found").otherwise("ok").alias("status"))
     return (
-        asked.withColumnRenamed("song_id", "seed").join(nodes, "seed").drop("seed"),
-        _edge_columns(asked.join(seed_edges, "song_id"), "request_id"),
+        asked.withColumnRenamed("song_id", "seed").join(shuffled(nodes), "seed").drop("seed"),
+        _edge_columns(asked.join(shuffled(seed_edges), "song_id"), "request_id"),
         meta,
     )
 
@@ -65,7 +66,7 @@ def seed_from_song(songs: DataFrame, edges: DataFrame, requests: DataFrame,
 def _seed_from_songs(requests: DataFrame, found: DataFrame, seed_type: str, cap: int):
     counts = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
     node_count = F.coalesce("n", F.lit(0)).cast("bigint")
-    meta = requests.select("request_id", "query").join(counts, "request_id", "left").select(
+    meta = requests.select("request_id", "query").join(shuffled(counts), "request_id", "left").select(
         "request_id", F.lit(seed_type).alias("seed_type"), F.col("query").alias("seed_value"),
         node_count.alias("visible_node_count"), F.lit(0).cast("bigint").alias("visible_edge_count"),
         (node_count >= cap).alias("reached_limit"), F.lit("ok").alias("status"))
@@ -107,33 +108,33 @@ def expand(visible_nodes: DataFrame, visible_edges: DataFrame, selected: DataFra
     known = named[0].select("session_id")
     for more in named[1:]:
         known = known.union(more.select("session_id"))
-    room = known.distinct().join(
-        visible.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_visible")), "session_id", "left").na.fill(0, ["n_visible"])
-    chosen = selected.select("session_id", "id").join(visible, ["session_id", "id"], "left_semi")
-    active = chosen.join(room.where(F.col("n_visible") < cap), "session_id")
-    reached = active.join(
-        edges.select(F.col("source_song_id").alias("id"), "source_song_id", "target_song_id", "neighbor_rank"), "id")
+    room = cut_lineage(known.distinct().join(shuffled(
+        visible.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_visible"))), "session_id", "left").na.fill(0, ["n_visible"]))
+    chosen = selected.select("session_id", "id").join(shuffled(visible), ["session_id", "id"], "left_semi")
+    active = chosen.join(shuffled(room.where(F.col("n_visible") < cap)), "session_id")
+    reached = active.join(shuffled(
+        edges.select(F.col("source_song_id").alias("id"), "source_song_id", "target_song_id", "neighbor_rank")), "id")
     seen = visible.select("session_id", F.col("id").alias("target_song_id"), F.lit(True).alias("_seen"))
-    reached = reached.drop("id").join(seen, ["session_id", "target_song_id"], "left")
+    reached = cut_lineage(reached.drop("id").join(shuffled(seen), ["session_id", "target_song_id"], "left"))
 
     first = reached.where(F.col("_seen").isNull()).groupBy("session_id", "target_song_id").agg(
         F.min(F.struct("source_song_id", "neighbor_rank")).alias("_at"), F.first("n_visible").alias("n_visible"))
     turn = W.partitionBy("session_id").orderBy("_at", "target_song_id")
     allowed = first.withColumn("_turn", F.row_number().over(turn)).where(
         (F.col("_turn") <= cap) & (F.col("_turn") <= F.lit(cap) - F.col("n_visible")))
-    loaded = allowed.withColumn("song_id", F.col("target_song_id")).join(songs, "song_id")
+    loaded = cut_lineage(allowed.withColumn("song_id", F.col("target_song_id")).join(shuffled(songs), "song_id"))
     new_nodes = _nodes(loaded, "session_id", F.col("_turn").alias("position"))
 
     arrived = loaded.select("session_id", "target_song_id", F.lit(True).alias("_loaded"))
     shown = (
-        reached.join(arrived, ["session_id", "target_song_id"], "left")
+        reached.join(shuffled(arrived), ["session_id", "target_song_id"], "left")
         .where(F.col("_seen") | F.col("_loaded"))
         .groupBy("session_id", "source_song_id", "target_song_id").agg(F.min("neighbor_rank").alias("neighbor_rank")))
     new_edges = _edge_columns(shown, "session_id").join(
-        visible_edges.select("session_id", "id"), ["session_id", "id"], "left_anti")
+        shuffled(visible_edges.select("session_id", "id")), ["session_id", "id"], "left_anti")
 
     def tally(df, name):
-        return df.groupBy("session_id").agg(F.count(F.lit(1)).alias(name))
+        return shuffled(df.groupBy("session_id").agg(F.count(F.lit(1)).alias(name)))
 
     meta = (
         room.join(tally(new_nodes, "new_nodes"), "session_id", "left")
@@ -175,8 +176,9 @@ def expand_until_cap(nodes: DataFrame, edges_seen: DataFrame, songs: DataFrame,
     row for every session of the inputs and of ``sessions`` (session_id) if given."""
     known = nodes.select("session_id").union(edges_seen.select("session_id"))
     known = (known if sessions is None else known.union(sessions.select("session_id"))).distinct()
-    nodes = nodes.select("session_id", "id", "position")
-    edges_seen = edges_seen.select("session_id", "id")
+    # What every round reads again is written once.
+    nodes, edges_seen = cut_lineage(nodes.select("session_id", "id", "position")), cut_lineage(edges_seen.select("session_id", "id"))
+    songs, edges = cut_lineage(songs), cut_lineage(edges)
     for _ in range(rounds):
         new_nodes, new_edges, _meta = expand(nodes, edges_seen, nodes, songs, edges, cap)
         new_edges = cut_lineage(new_edges.select("session_id", "id"))
@@ -186,8 +188,8 @@ def expand_until_cap(nodes: DataFrame, edges_seen: DataFrame, songs: DataFrame,
         nodes = cut_lineage(merge_delta(nodes, new_nodes))
         edges_seen = cut_lineage(edges_seen.unionByName(new_edges))
     meta = (
-        known.join(nodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("visible_node_count")), "session_id", "left")
-        .join(edges_seen.groupBy("session_id").agg(F.count(F.lit(1)).alias("visible_edge_count")), "session_id", "left")
+        known.join(shuffled(nodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("visible_node_count"))), "session_id", "left")
+        .join(shuffled(edges_seen.groupBy("session_id").agg(F.count(F.lit(1)).alias("visible_edge_count"))), "session_id", "left")
         .na.fill(0).withColumn("reached_limit", F.col("visible_node_count") >= cap))
     return nodes, edges_seen, meta
 
@@ -203,6 +205,6 @@ def song_detail(songs: DataFrame, edges: DataFrame, requests: DataFrame) -> Data
         F.col("source_song_id").alias("song_id"), F.col("target_song_id").alias("similar_song_id"),
         F.col("song_name").alias("similar_song_name"), F.col("artist_name").alias("similar_artist_name"),
         F.col("genre").alias("similar_genre"), "neighbor_rank")
-    answers = songs.join(asked.select("song_id").distinct(), "song_id", "left_semi").join(around, "song_id", "left")
-    return asked.join(answers, "song_id", "left").withColumn(
+    answers = songs.join(shuffled(asked.select("song_id").distinct()), "song_id", "left_semi").join(shuffled(around), "song_id", "left")
+    return asked.join(shuffled(answers), "song_id", "left").withColumn(
         "status", F.when(F.col("song_name").isNull(), "not_found").otherwise("ok"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import sampling, text
+from trackloom.operators.skew import shuffled
 from trackloom.schemas import ARTIST_SEED_CAP, GENRE_SEED_SAMPLE, SEARCH_LIMIT, SEED
 
 # Distinct questions are broadcast up to this many characters in all.
@@ -50,7 +51,7 @@ def genre_sample(songs: DataFrame, requests: DataFrame, limit: int = GENRE_SEED_
 
 def edges_of(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Edges whose source is in sources(song_id)."""
-    return edges.join(sources.select(F.col("song_id").alias("source_song_id")), "source_song_id", "left_semi")
+    return edges.join(shuffled(sources.select(F.col("song_id").alias("source_song_id"))), "source_song_id", "left_semi")
 
 
 def prefix_matches(values: DataFrame, column: str, order: list[str], requests: DataFrame,
