@@ -126,6 +126,17 @@ def test_pii_few_seeds(spark):
     assert [s["kind"] for i in (k, k + 1) for s in found[i]["spans"]] == ["context", "context"]
 
 
+def test_pii_proved_contexts_prove_others(spark):
+    """Identifiers that a proved context discovers prove a context of few seeds."""
+    rows = [(k, f"some good contact user{k}@mail.example.com today") for k in range(40)]
+    rows += [(100 + k, f"some good contact 77-{k}00-9911 today") for k in range(12)]
+    rows += [(200 + k, f"other words callback 77-{k}00-9911 today") for k in range(12)]
+    rows += [(300, "other words callback user500@mail.example.com today"), (301, "other words callback 88-4321-77 today"),
+             (302, "never proved place 88-4321-78 today")]
+    found = by_id(pii.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [s["kind"] for s in found[301]["spans"]] == ["context"] and found[302]["spans"] == []
+
+
 def test_pii_chance_seeds_prove_nothing(spark):
     """A frequent context with a few seeds by chance reports none of its numbers."""
     rows = [(k, f"many words of the user{k}@mail.example.com today") for k in range(5)]

@@ -4,8 +4,9 @@ Base entities seed the extraction. Every mention of an identifier-like token, se
 or not, has lexical contexts: the two words before it, and the word before it if
 that ends as a label does. Spark scores the graph of contexts and instances to its
 fixed point: a context is as good as the instances it holds, an instance as its best
-context. Unseen instances are no evidence against a context. Only contexts that many
-different seeds prove count; what else stands in them is discovered.
+context. Unseen instances are no evidence against a context. Contexts count that many
+different seeds prove, or seeds together with instances that better contexts prove; what
+else stands in them is discovered.
 """
 
 import re
@@ -35,11 +36,13 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NUMBER = re.compile(r"[0-9]+")
 _LETTERS = re.compile(r"[^\W\d_]")
 _EDGES = ".,;!?\"'()[]*%$#&"
-# A context needs so many different seeds, and the posterior that just so many give.
+# A context needs the posterior that so many different seeds give, by seeds or by
+# instances that it shares with better contexts.
 SEEDS = 5
 SURE = (SEEDS + 1) / (SEEDS + 3)
-# So large a share of a context's different instances must be seeds, at 95 % sureness;
-# else a frequent context would be proved by the few seeds that chance puts there.
+# So large a share of a context's different instances must be seeds or lent by proved
+# contexts, at 95 % sureness; else a frequent context would be proved by the few seeds
+# that chance puts there.
 SHARE = 0.05
 # Scores that move by no more than this have settled.
 SETTLED = 1e-9
@@ -153,39 +156,51 @@ def _sure(some: Column, of: Column) -> Column:
     return (p + z * z / (2 * of) - z * F.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
 
 
-def context_scores(mentioned: DataFrame, seeds: int = SEEDS, share: float = SHARE) -> DataFrame:
+def context_scores(mentioned: DataFrame, seeds: int = SEEDS, share: float = SHARE, carried: bool = False) -> DataFrame:
     """context, score (posterior that what stands in it is personal data) from
     mentions (context, instance, seed).
 
-    Seeds must be more than chance there: a context counts only if, surely, at least
-    ``share`` of its different instances are seeds. It scores (sum of trust + 1) / (instances + 3), that is Beta(1, 2) before
+    A context scores (sum of trust + 1) / (instances + 3), that is Beta(1, 2) before
     anything is seen; a seed's trust is 1, another instance's the best score of its
     contexts. The scores are the fixed point of that. An instance whose best context
     is the one looked at then cancels out, so k seeds alone give (k + 1) / (k + 3),
     however many unseen instances stand beside them; only instances with a better
-    context elsewhere are passed on, in rounds, until no score moves.
-    Edges are distinct pairs, counted before anything is joined, so a frequent
-    context or instance is never one task's list.
+    context elsewhere are passed on, in rounds, until no score moves. With ``carried``, a context of
+    fewer than ``seeds`` seeds is proved where enough of its instances stand in proved
+    contexts too. Contexts below the score of ``seeds`` seeds lend nothing: what they
+    lend could not raise another to it.
+
+    Trusted instances must be more than chance: a context lends, and is returned, only
+    while, surely, at least ``share`` of its different instances are seeds or lent.
+    A context whose seeds (``carried``: and shared instances) are fewer than ``seeds``
+    is left out at the start. Edges are distinct pairs, counted before anything is
+    joined, so a frequent context or instance is never one task's list.
     """
     edges = cut_lineage(mentioned.groupBy("context", "instance").agg(F.max("seed").alias("seed")))
-    counted = edges.groupBy("context").agg(F.count(F.when(F.col("seed"), 1)).alias("k"), F.count(F.lit(1)).alias("n"))
-    scored = cut_lineage(counted.where((F.col("k") >= seeds) & (_sure(F.col("k"), F.col("n")) >= share)).drop("n")
-                         .withColumn("score", (F.col("k") + 1) / (F.col("k") + 3)))
-    edges = cut_lineage(edges.join(scored.select("context"), "context"))
-    several = edges.groupBy("instance").agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("s")).where("n > 1 and not s")
-    edges = cut_lineage(edges.join(several.select("instance"), "instance"))
-    moved = not edges.isEmpty()
+    held = edges.groupBy("instance").agg(F.count(F.lit(1)).alias("c"), F.max("seed").alias("s"))
+    shared = cut_lineage(edges.join(held.where("c > 1 and not s").select("instance"), "instance").select("context", "instance"))
+    counted = (edges.groupBy("context").agg(F.count(F.when(F.col("seed"), 1)).alias("k"), F.count(F.lit(1)).alias("n"))
+               .join(shared.groupBy("context").agg(F.count(F.lit(1)).alias("m")), "context", "left")
+               .where(F.col("k") + (F.coalesce("m", F.lit(0)) if carried else F.lit(0)) >= seeds))
+    least = (seeds + 1) / (seeds + 3)
+    proved = (F.col("score") >= least) & (_sure(F.col("k") + F.col("lenders"), F.col("n")) >= share)
+    scored = cut_lineage(counted.select("context", "k", "n", ((F.col("k") + 1) / (F.col("k") + 3)).alias("score"),
+                                        F.lit(0).cast("bigint").alias("lenders")))
+    shared = cut_lineage(shared.join(scored.select("context"), "context"))
+    moved = not shared.isEmpty()
     while moved:
-        here = edges.join(scored.select("context", "score"), "context")
-        best = here.groupBy("instance").agg(F.max("score").alias("best"))
-        lent = (here.join(best, "instance").where("not seed and best > score").groupBy("context")
-                .agg(F.sum("best").alias("lent"), F.count(F.lit(1)).alias("n")))
-        after = (F.col("k") + 1 + F.coalesce("lent", F.lit(0.0))) / (F.col("k") + 3 + F.coalesce("n", F.lit(0)))
-        fresh = cut_lineage(scored.join(lent, "context", "left").select("context", "k", after.alias("score"),
-                                                                         (after - F.col("score")).alias("step")))
-        moved = not fresh.where(F.abs("step") > SETTLED).isEmpty()
-        scored = fresh.drop("step")
-    return scored.select("context", "score")
+        lending = scored.where(proved).select("context", F.col("score").alias("trust"))
+        best = shared.join(lending, "context").groupBy("instance").agg(F.max("trust").alias("best"))
+        lent = (shared.join(best, "instance").join(scored.select("context", "score"), "context").where("best > score")
+                .groupBy("context").agg(F.sum("best").alias("lent"), F.count(F.lit(1)).alias("more")))
+        more = F.coalesce("more", F.lit(0)).cast("bigint")
+        after = (F.col("k") + 1 + F.coalesce("lent", F.lit(0.0))) / (F.col("k") + 3 + more)
+        fresh = cut_lineage(scored.join(lent, "context", "left").select(
+            "context", "k", "n", F.greatest(after, "score").alias("score"), F.greatest(more, "lenders").alias("lenders"),
+            F.greatest(after - F.col("score"), F.lit(0.0)).alias("step"), (more > F.col("lenders")).alias("gained")))
+        moved = not fresh.where((F.col("step") > SETTLED) | F.col("gained")).isEmpty()
+        scored = fresh.drop("step", "gained")
+    return scored.where(proved).select("context", "score")
 
 
 def scan(docs: DataFrame, sure: float = SURE, **options) -> DataFrame:
@@ -201,7 +216,7 @@ def scan(docs: DataFrame, sure: float = SURE, **options) -> DataFrame:
         _extract, f"row bigint, doc_id {kind}, spans array<{_SPAN}>, mentions array<{_MENTION}>"))
     mentioned = (held.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
                  .withColumn("context", F.explode("contexts")).drop("contexts"))
-    good = cut_lineage(context_scores(mentioned, **options).where(F.col("score") >= sure).select("context"))
+    good = cut_lineage(context_scores(mentioned, carried=True, **options).where(F.col("score") >= sure).select("context"))
     added = cut_lineage(mentioned.where("not seed").join(good, "context").groupBy("row").agg(F.collect_set(F.struct(
         F.lit(FOUND).alias("kind"), "start", "end")).alias("more")))
     order = {k: n for n, k in enumerate([*KINDS, FOUND])}
