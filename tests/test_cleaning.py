@@ -51,6 +51,21 @@ def test_fill_with_hot_keys(spark, monkeypatch):
     check_fill(spark)
 
 
+@pytest.mark.parametrize("limit", [0, 1, 2, 100])
+def test_fill_with_few_and_many_fillable_groups(spark, monkeypatch, limit):
+    """Broadcast or shuffled: the same rows; rows that no group can fill are never shuffled."""
+    monkeypatch.setattr(fill, "RARE_KEYS", limit)
+    check_fill(spark)
+    full = [{"track_id": str(i % 9), "duration_ms": float(i % 9) if i % 10 else None, "tempo": None} for i in range(90)]
+    df = tracks(spark, *full)
+    done = fill.fill_from_group(df, "track_id", ["duration_ms", "tempo"], "m")
+    assert rows(done.select("track_id", "duration_ms", "m")) == rows(spark.createDataFrame(
+        [(str(i % 9), float(i % 9), int(i % 10 == 0)) for i in range(90)], "a string, b double, c int"))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    read = [line for line in plan.splitlines() if "Filter" in line and "isnull(duration_ms" in line]
+    assert ("strategy=merge" in plan) == (limit < 9) == bool(read)
+
+
 def test_hot_keys_and_salting(spark):
     """A third of all rows are copies with one key; they spread over the salts."""
     hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
