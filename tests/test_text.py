@@ -58,3 +58,12 @@ def test_keys_numbers_and_hash(spark):
     assert [r[0] for r in df.select(text.artist_track_key(F.col("a"), F.col("t"))).collect()] == ["ann||song", None, None]
     assert apply(spark, ["1", "2.5", "x", None, "NaN"], text.to_number) == [1.0, 2.5, None, None, None]
     assert apply(spark, ["abc"], text.short_hash) == ["a9993e36"]
+
+
+def test_strip_takes_every_blank_and_nothing_else(spark):
+    chars = spark.range(1, 0x30000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    found = chars.select("c", text.strip(F.concat("c", F.lit("a"), "c", F.lit("b"), "c")).alias("s"))
+    wanted = F.regexp_replace(F.concat("c", F.lit("a"), "c", F.lit("b"), "c"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    assert found.where(~F.col("s").eqNullSafe(wanted)).isEmpty()
+    assert found.where(F.length("s") == 3).count() == 29
+    assert "regexp_replace" not in str(text.strip(F.col("c")))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BLANK = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_BLANK}+|{_BLANK}+\z"
+# The characters of _BLANK one by one: trimming needs no search, which costs most where nothing is trimmed.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 _RUNS = rf"(?U){_BLANK}+"
 
 # An item of a list literal: a quoted text, a plain number, None, True or False.
@@ -21,7 +22,7 @@ _LIST = rf"(?s)\A\[\s*+(?:{_ITEM}\s*+(?:,\s*+{_ITEM}\s*+)*+,?\s*+)?+\]\z"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def strip_or_empty(c: Column) -> Column:

@@ -23,9 +23,10 @@ def pre_imputation(raw: DataFrame) -> PreImputation:
     """Text, invalid values, both fills, defaults, and the report of all of it.
 
     The report is (stage, metric, column, value). Fill counts come from bit masks
-    carried beside the rows, so no stage runs twice to be counted.
+    carried beside the rows, so no stage runs twice to be counted. The raw rows are
+    written once: their profile and the fills read them several times.
     """
-    raw = clean.nan_to_null(raw.select(*RAW_TRACK_COLUMNS))
+    raw = cut_lineage(clean.nan_to_null(raw.select(*RAW_TRACK_COLUMNS)))
     texted = clean.normalise_identity_text(raw)
     filled = cut_lineage(fill.deterministic_fill(quality.invalid_to_null(texted), marks=True))
     table = quality.fill_defaults(filled).select(*RAW_TRACK_COLUMNS)
