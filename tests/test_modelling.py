@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -145,6 +146,27 @@ def test_linear_soft_targets_and_joint(spark):
     assert done.metrics.where("model = 'geometric'").first()["mode_accuracy"] > 0.7
 
 
+@pytest.mark.parametrize("iterations, off", [(5, 0.02), (30, 0.005)])
+def test_linear_fit_reads_a_row_once_and_equals_the_repeated_fit(spark, iterations, off):
+    """Against Spark's own regression over rows repeated once per class."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) * [1, 20, 0] + [5, -3, 2]
+    y = (np.abs(x[:, 0] - 5) * 2 + rng.random(400)).astype(int) % 4
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y)], "f array<double>, y int").withColumn(
+        "features", array_to_vector("f")).coalesce(2).cache()
+    goal = (np.eye(5) * 0.6 + 0.08)[:4].tolist() + [[0.08] * 4 + [0.68]]
+    model = softboost.fit_linear(df, "y", goal, iterations)
+    counts, sums, squares = softboost._moments(df.select("f", "y"), 5)
+    assert list(counts) == [*np.bincount(y), 0] and sums.sum(axis=0) == pytest.approx(x.sum(axis=0))
+    assert squares == pytest.approx((x * x).sum(axis=0))
+    repeated = df.select("features", F.posexplode(circle.as_literal(goal)[F.col("y")]).alias("c", "w"))
+    plain = LogisticRegression(labelCol="c", weightCol="w", family="multinomial", maxIter=iterations).fit(repeated)
+    found = np.array([r[0] for r in model.transform(df).select("probs").collect()])
+    wanted = np.array([r[0].toArray() for r in plain.transform(df).select("probability").collect()])
+    assert np.abs(found - wanted).max() < off
+    assert "probs" in model.transform(df).columns and model.transform(df).columns[:3] == df.columns
+
+
 def test_xyz(spark):
     df = learnable(spark, 1200)
     done = impute.impute_key_mode_xyz(df, "k", FEW, ["loudness", "tempo"])
