@@ -241,6 +241,23 @@ def test_secret_scan_learns_hidden(spark):
     assert sum(bool(found[k]["spans"]) for k in range(300, 900)) <= 6
 
 
+def test_secret_scan_fits_on_all_candidates(spark):
+    """More findings and documents than a bounded sample held; shards and layouts agree."""
+    rng = np.random.default_rng(6)
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(1700)]
+    names = ["-".join("".join(rng.choice(list("etaoinshrdlu"), 6)) for _ in range(4)) + str(k) for k in range(1700)]
+    docs = spark.createDataFrame([(k, f"some word {w} after") for k, w in enumerate([*keys, *names])], "doc_id long, text string")
+    more = docs.union(spark.range(4000, 36000).select("id", F.lit("nothing here")))
+    rows, held = secret_scan.split_windows(more)
+    assert rows.count() + held.count() == 3400 and 700 < held.count() < 1000
+    one, two = (secret_scan.fit(more.repartition(n), shard=800) for n in (2, 5))
+    assert one.threshold == two.threshold and (one.kernel == two.kernel).all()
+    scored = secret_scan._scores(held, one).where("finding").agg(F.avg((F.col("score") >= one.threshold).cast("int")), F.count("*"))
+    share, n = scored.first()
+    assert 0.95 <= share < 0.95 + 2 / n
+    assert secret_scan._scores(held, one).where(f"not finding and score >= {one.threshold}").count() <= 4
+
+
 def test_licenses(some_docs, no_docs, plain):
     found = by_id(license_scan.scan(some_docs))
     for i, text in plain.items():
