@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from trackloom.functions import circle, decode
@@ -138,6 +139,38 @@ def test_soft_boost_learns_and_leaves_match(spark):
     assert scored == pytest.approx([1 / 3] * 3) and g == pytest.approx(0) and model.stages[0][0][1][0.0] == pytest.approx(h / (h + 1))
 
 
+def test_boosted_trees_of_a_round_grow_in_one_pass_a_level_and_equal_spark_trees(spark):
+    """Against one Spark tree per class over the Newton steps; a row is not read once per class."""
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, 9, 500), rng.integers(0, 5, 500), rng.random(500) < 0.1], axis=1).astype(float)
+    y = (x[:, 0] // 3 + x[:, 2]).astype(int) % 3
+    df = spark.createDataFrame([(str(i), v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))],
+                               "k string, f array<double>, y int").withColumn("features", array_to_vector("f")).repartition(3).cache()
+    goal = np.eye(3) * 0.7 + 0.1
+    params = softboost.BoostParams(rounds=2, depth=3, step=0.5, row_share=1.0, l2=0.0, max_bins=16)
+    model = softboost.fit(df, "y", "k", goal.tolist(), params)
+    margin = np.zeros((500, 3))
+    rows = df.select("f", "y").collect()
+    xs, ys = np.array([r["f"] for r in rows]), np.array([r["y"] for r in rows])
+    for stage in model.stages:
+        p = np.exp(margin) / np.exp(margin).sum(axis=1, keepdims=True)
+        for c, (tree, factors) in enumerate(stage):
+            h = p[:, c] * (1 - p[:, c])
+            made = spark.createDataFrame([(v.tolist(), float(-(q - t) / w), float(w)) for v, q, t, w in zip(
+                xs, p[:, c], goal[ys, c], h)], "f array<double>, l double, w double").withColumn("features", array_to_vector("f"))
+            plain = DecisionTreeRegressor(labelCol="l", weightCol="w", maxDepth=3, maxBins=16).fit(made)
+            wanted = np.array([r[0] for r in plain.transform(made).select("prediction").collect()])
+            leaf = softboost._descend(xs, tree.feature, tree.threshold, 3)
+            assert factors == {} and tree.value[leaf] == pytest.approx(wanted, abs=1e-6)
+            margin[:, c] += 0.5 * wanted
+    found = np.array([r[0] for r in model.transform(df).select("probs").collect()])
+    assert found == pytest.approx(np.exp(margin) / np.exp(margin).sum(axis=1, keepdims=True), abs=1e-6)
+    assert model.transform(df.limit(0)).count() == 0
+    wide = spark.range(1000).select(F.array(F.col("id").cast("double"), (F.col("id") > 998).cast("double")).alias("_x"))
+    many, few = softboost._thresholds(wide, 16)
+    assert len(many) == 16 and np.abs(np.diff(many) - 62.5).max() < 15 and list(few) == [0.5]
+
+
 def test_linear_soft_targets_and_joint(spark):
     df = learnable(spark, 1200)
     done = softboost.impute_joint(df, "k", softboost.LinearParams(20), features=["loudness", "tempo"])
