@@ -1,3 +1,6 @@
+import datetime
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -5,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
+from checks import modelling
 from trackloom.functions import circle, decode
 from trackloom.operators import clean, impute, metrics, softboost
 from trackloom.plans import experiments
@@ -54,6 +58,27 @@ def test_decoders(spark):
     assert soft == pytest.approx([1 / (1 + np.e), np.e / (1 + np.e)])
 
 
+def test_decoders_stay_compiled_and_lines_are_told_apart_by_key(spark, tmp_path, capsys):
+    """The JVM leaves methods over 8000 bytes of code uncompiled."""
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate date"
+    day = datetime.date(1995, 3, 1)
+    rows = [(1, 2, 3, 4, day), (1, 2, 3, 4, day), (1, 2, None, 4, day), (1, 2, 3, 5, day), (None, 1, 3, 2, day), (2, None, 3, 1, day),
+            (5, 6, 7, 1, day), (5, 6, 7, 1, None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = modelling.decoded_keys(spark, str(tmp_path))
+    assert sorted(r["line"] for r in found.collect()) == ["1:4:2", "1:4:2:3", "1:5:2:3", "2:1:3", "5:1:6:7"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        modelling.decoded_keys(spark, str(tmp_path)).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+    odd = spark.createDataFrame([(None,), ([0.5, None],), ([0.25, 0.75],)], "probs array<double>")
+    got = [r[0] for r in odd.select(decode.expected_distances(F.col("probs"), [[0.0, 2.0], [2.0, 0.0]])).collect()]
+    assert got == [[None, None], [None, None], [1.5, 0.5]]
+
+
 def test_key_metrics(spark):
     pairs = [(0, 11), (0, 0), (3, 5), (3, 3), (6, 0)]
     df = spark.createDataFrame(pairs, "true_key int, predicted_key int")
