@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from checks.compare import differences, oracle
 from trackloom.llm import near_dedup, packing, pii, quality_rules, queries, url_filters
-from trackloom.session import shared_folder
+from trackloom.session import cut_lineage, shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,6 +99,34 @@ def test_further_centres_settle_a_bucket(spark):
     assert near_dedup._open(left, joined).count() == 0
 
 
+def test_near_copies_below_the_threshold_do_not_all_meet(spark, monkeypatch):
+    """Copies of one text, each with edits of its own: most pairs are just below the
+    threshold, and hardly more are compared than link; no link is lost."""
+    rng = random.Random(4)
+    texts = {}
+    for node in range(70):
+        words = [f"w{k}" for k in range(900)]
+        for slot in rng.sample(range(180), 11):
+            words[5 * slot + 2] = f"e{node}x{slot}"
+        texts[node] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "node long, text string")
+    sets = cut_lineage(docs.mapInArrow(near_dedup._setter(5), "node long, part long, shingles binary"))
+    members = spark.createDataFrame([(1, k, 896, 0) for k in texts], "bucket long, node long, n long, centre long")
+    stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    tried, compared, confirmed = near_dedup.confirmed(stars, sets, 80), [], near_dedup.confirmed
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    monkeypatch.setattr(near_dedup, "STARS", 1)  # the filters alone
+    joined = {r["node"]: r["component"] for r in near_dedup._finish(members, tried, sets, 80).collect()}
+    plain = {i: head for i, (_, head) in plain_groups(texts, 80).items()}
+    assert {i: joined.get(i, i) for i in texts} == plain and 2 < len(set(plain.values())) < 60
+    assert sum(compared) < 600  # of 2,415 pairs
+
+
 def test_tables_do_not_pile_up(spark):
     """What a job wrote on its way is gone with it; only its result stays."""
     folder = shared_folder(spark)

@@ -31,6 +31,9 @@ THRESHOLD = 80
 # Centres that a bucket compares its members with before the exact filter takes
 # what is then still open.
 STARS = 4
+# A centre that so many open sets are half like stands for their class: they meet by
+# what they have otherwise than the centre.
+CLASS = 16
 # Words whose hashes a task remembers; the store is emptied when it is full.
 REMEMBERED = 1 << 20
 
@@ -143,25 +146,26 @@ def _confirm(threshold: int):
     def run(batches):
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = []
+            keep, near = [], []
             for x, y in zip(left, right):
                 both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
                 both.sort(kind="stable")  # two sorted runs: a merge
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= threshold * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())],
-                                             ["a", "b", "linked"])
+                near.append(2 * shared >= len(both) - shared)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_()), pa.array(near, pa.bool_())],
+                                             ["a", "b", "linked", "close"])
 
     return run
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """a, b, linked for every pair, by the full sets of both; a row for each two of
-    their sets where a node has several."""
+    """a, b, linked and close (half of both shared) for every pair, by the full sets of
+    both; a row for each two of their sets where a node has several."""
     kind = pairs.schema["a"].dataType.simpleString()
     held = (pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb"))
-    return held.mapInArrow(_confirm(threshold), f"a {kind}, b {kind}, linked boolean")
+    return held.mapInArrow(_confirm(threshold), f"a {kind}, b {kind}, linked boolean, close boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,22 +267,76 @@ def _more_stars(members: DataFrame, tried: DataFrame, joined: DataFrame, sets: D
     return members, tried, joined
 
 
-def _finish(members: DataFrame, tried: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Components after the stars, with every link that the stars missed.
+def _classes(tried: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, z: of the centres that an open set is close to, the one that most are."""
+    near = tried.where("close").select(F.col("a").alias("z"), F.col("b").alias("node")).join(nodes, "node").select("z", "node").distinct()
+    popular = cut_lineage(near.groupBy("z").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= CLASS))
+    own = popular.select("z", F.col("z").alias("node")).join(nodes, "node").select("z", "node")
+    return cut_lineage(near.union(own).join(popular, "z").groupBy("node").agg(F.max(F.struct("c", "z"))["z"].alias("z")))
 
-    Members of buckets that further centres leave open are dealt anew by
-    their rare shingles, an exact filter that a shared passage does not pass.
-    There, members outside the largest component become centres in turn, some of
-    each bucket at first and more each round, and meet the members of other
-    components, until none is left. Pairs whose sizes, or counts of shingles that
-    others share, rule a link out are not compared.
+
+def _differ(batches):
+    for batch in batches:
+        n, found = [], []
+        for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            own = np.frombuffer(x, np.uint64)
+            n.append(len(own))
+            found.append(np.setxor1d(own, np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                                         ["z", "node", "part", "n", "delta"])
+
+
+def _difference_prefixes(classes: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """An exact filter for the links inside a class; (members, pairs).
+
+    With D the difference of a set to its class's centre, two sets differ in
+    |Dx| + |Dy| - 2 |Dx and Dy| shingles, and link if that is at most
+    (100 - threshold) / (100 + threshold) of the shingles of both. So they have
+    some of D in common, but where both are so near the centre that they link
+    whatever it is. Members meet at the rarest shingles of D, of which they keep
+    as many as a link needs (bucket, node, slack, m, prefix, delta). Sets that are near enough
+    for the other case link with the one that is nearest: those are the pairs.
+    What all have in common is no longer met at, however alike the sets are.
+    """
+    kind = sets.schema["node"].dataType.simpleString()
+    heads = (sets.join(classes.select(F.col("z").alias("node")).distinct(), "node")
+             .groupBy("node").agg(F.min_by("shingles", "part").alias("sz")).withColumnRenamed("node", "z"))
+    beside = sets.join(classes, "node").join(heads, "z").select("z", "node", "part", "shingles", "sz")
+    slack = (100 - threshold) * F.col("n") - (100 + threshold) * F.size("delta")
+    differing = cut_lineage(beside.mapInArrow(_differ, f"z {kind}, node {kind}, part long, n long, delta array<long>")
+                            .withColumn("slack", slack.cast("long")))
+    top = cut_lineage(differing.groupBy("z").agg(F.max(F.struct("slack", "node")).alias("top")))
+    tokens = differing.select("z", "node", "part", F.explode("delta").alias("token"))
+    shared = tokens.groupBy("z", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = (tokens.join(shared, ["z", "token"]).groupBy("z", "node", "part")
+            .agg(F.sort_array(F.collect_list(F.struct("df", "token")))["token"].alias("delta"))
+            .join(differing.select("z", "node", "part", "slack"), ["z", "node", "part"]).join(top, "z"))
+    held = held.withColumn("m", F.size("delta").cast("long"))
+    need = F.greatest(F.ceil(-(F.col("slack") + F.col("top.slack")) / (2 * (100 + threshold))), F.lit(1))
+    take = F.greatest((F.col("m") - need + 1).cast("int"), F.lit(0))
+    members = (held.withColumn("prefix", F.slice("delta", F.lit(1), take)).withColumn("token", F.explode("prefix"))
+               .select(F.struct("z", "token").alias("bucket"), "node", "slack", "m", "prefix", "delta"))
+    sure = differing.join(top, "z").where((F.col("slack") + F.col("top.slack") >= 0) & (F.col("node") != F.col("top.node")))
+    return cut_lineage(members), cut_lineage(sure.select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct())
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """The pairs (a, b), the lesser node first, that were not tried either way round."""
+    def ordered(rows):
+        return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    return cut_lineage(ordered(pairs).distinct().join(ordered(tried), ["a", "b"], "left_anti"))
+
+
+def _rounds(members: DataFrame, may_link, tried: DataFrame, joined: DataFrame, sets: DataFrame,
+            threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs tried and the components when no link of the buckets is open.
+
+    Members outside a bucket's largest component become centres in turn, some of each
+    bucket at first and more each round, and meet the members of other components
+    that they may link with, until none is left. ``may_link`` sees the columns of
+    both; the second's have an underscore in front.
     """
-    joined = components(tried.where("linked").select("a", "b"))
-    members, tried, joined = _more_stars(members, tried, joined, sets, threshold)
-    nodes = cut_lineage(_open(members, joined).select("node").distinct())
-    if nodes.isEmpty():
-        return joined
-    members = _rare_prefixes(sets.join(nodes, "node"), threshold)
     done, at_once = members.select("bucket", "node").limit(0), 1024
     while True:
         with Scope(members.sparkSession) as scope:
@@ -287,18 +345,10 @@ def _finish(members: DataFrame, tried: DataFrame, sets: DataFrame, threshold: in
             rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
             centres = scope.keep(loose.withColumn("_rank", rank).where(F.col("_rank") <= at_once).drop("_rank"))
             if centres.isEmpty():
-                return joined
-            others = here.select("bucket", F.col("node").alias("o"), F.col("n").alias("no"), F.col("m").alias("mo"),
-                                 F.col("component").alias("co"), F.col("prefix").alias("po"))
-            # A pair meets once, at the first shingle that both prefixes have.
-            first = F.get(F.array_intersect("prefix", "po"), F.lit(0)) == F.col("bucket")
-            most = F.least("m", "mo")
-            size = 100 * most >= threshold * (F.col("n") + F.col("no") - most)
-            met = (centres.join(others, "bucket").where((F.col("component") != F.col("co")) & size & first)
-                   .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
-            known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            fresh = cut_lineage(met.join(known, ["a", "b"], "left_anti"))
-            found = scope.keep(confirmed(fresh, sets, threshold))
+                return tried, joined
+            others = here.select("bucket", *[F.col(c).alias(f"_{c}") for c in here.columns if c != "bucket"])
+            met = centres.join(others, "bucket").where((F.col("component") != F.col("_component")) & may_link)
+            found = scope.keep(confirmed(_untried(met.select(F.col("node").alias("a"), F.col("_node").alias("b")), tried), sets, threshold))
         tried = tried.union(found)
         done = done.union(centres.select("bucket", "node"))
         at_once *= 16
@@ -306,6 +356,44 @@ def _finish(members: DataFrame, tried: DataFrame, sets: DataFrame, threshold: in
             joined = components(tried.where("linked").select("a", "b"))
 
 
+def _finish(members: DataFrame, tried: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Components after the stars, with every link that the stars missed.
+
+    Members of buckets that further centres leave open are dealt anew by
+    their rare shingles, an exact filter that a shared passage does not pass.
+    Those of one class are dealt by their differences to its centre instead, as
+    many near copies below the threshold all have the same rare shingles. Pairs
+    whose sizes, or counts of shingles that others share, rule a link out are not
+    compared.
+    """
+    joined = components(tried.where("linked").select("a", "b"))
+    members, tried, joined = _more_stars(members, tried, joined, sets, threshold)
+    nodes = cut_lineage(_open(members, joined).select("node").distinct())
+    if nodes.isEmpty():
+        return joined
+    members = _rare_prefixes(sets.join(nodes, "node"), threshold)
+    classes = _classes(tried, members.select("node").distinct())
+    # A pair meets once, at the first shingle that both prefixes have.
+    first = F.get(F.array_intersect("prefix", "_prefix"), F.lit(0))
+    if not classes.isEmpty():
+        differing, sure = _difference_prefixes(classes, sets, threshold)
+        tried = tried.union(cut_lineage(confirmed(_untried(sure, tried), sets, threshold)))
+        joined = components(tried.where("linked").select("a", "b"))
+        slack = F.col("slack") + F.col("_slack")
+
+        def enough(common):
+            return slack + 2 * (100 + threshold) * common >= 0
+
+        tried, joined = _rounds(
+            differing, enough(F.least("m", "_m")) & (first == F.col("bucket.token")) & enough(F.size(F.array_intersect("delta", "_delta"))),
+            tried, joined, sets, threshold)
+    most = F.least("m", "_m")
+    size = 100 * most >= threshold * (F.col("n") + F.col("_n") - most)
+    apart = F.coalesce(F.col("z") != F.col("_z"), F.lit(True))
+    members = cut_lineage(members.join(classes, "node", "left"))
+    return _rounds(members, apart & size & (first == F.col("bucket")), tried, joined, sets, threshold)[1]
+
+
 def duplicate_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE, bands: int = BANDS,
                      rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
