@@ -244,3 +244,29 @@ def test_experiments(spark):
     assert grid.count() == 3 and grid.where("model = 'baseline'").count() == 1
     scores, spread = experiments.error_weighted_experiment(df, "k", FEW, 2, features=["loudness", "valence"])
     assert scores.count() == 2 and 1.0 <= spread.first()["mean"] <= 2.0
+
+
+def written(monkeypatch, module):
+    """Columns of the tables that a module writes."""
+    tables, write = [], module.cut_lineage
+
+    def noted(df):
+        tables.append(set(df.columns))
+        return write(df)
+
+    monkeypatch.setattr(module, "cut_lineage", noted)
+    return tables
+
+
+def test_filled_versions_write_what_they_read(spark, monkeypatch):
+    """A version's fit is the only one, and only what a fit reads is written for it."""
+    df = learnable(spark, 600).withColumn("text", F.lit("x"))
+    fits, fit = [], impute.fit_regressor
+    monkeypatch.setattr(impute, "fit_regressor", lambda *a: fits.append(a[1]) or fit(*a))
+    held, compared = written(monkeypatch, impute), written(monkeypatch, experiments)
+    filled = impute.fill_regression(df, impute.targets()["energy"], "k", FEW)
+    assert fits == ["energy"] and held == [{"energy", "held_out", "features"}]
+    assert filled.columns == df.columns and filled.where("energy is null").isEmpty()
+    table, _ = experiments.compare_versions({"one": df, "two": filled}, "mode", "k", FEW)
+    assert table.count() == 2 and not any("text" in c for c in compared)
+    assert compared.count({"mode", "valence_missing", "held_out", "features"}) == 2
