@@ -270,3 +270,9 @@ def test_filled_versions_write_what_they_read(spark, monkeypatch):
     table, _ = experiments.compare_versions({"one": df, "two": filled}, "mode", "k", FEW)
     assert table.count() == 2 and not any("text" in c for c in compared)
     assert compared.count({"mode", "valence_missing", "held_out", "features"}) == 2
+
+
+def test_gated_keys_write_what_they_read(spark, monkeypatch):
+    tables = written(monkeypatch, experiments)
+    experiments.gated_key_imputation(learnable(spark, 600), "k", FEW, ["loudness", "valence"])
+    assert [c for c in tables if "features" in c] == [{"key", "held_out", "features"}]
