@@ -276,3 +276,9 @@ def test_gated_keys_write_what_they_read(spark, monkeypatch):
     tables = written(monkeypatch, experiments)
     experiments.gated_key_imputation(learnable(spark, 600), "k", FEW, ["loudness", "valence"])
     assert [c for c in tables if "features" in c] == [{"key", "held_out", "features"}]
+
+
+def test_folds_write_what_they_read(spark, monkeypatch):
+    tables = written(monkeypatch, impute)
+    impute.cross_validate(learnable(spark, 600), impute.targets()["energy"], "k", 2, FEW)
+    assert tables == [{"energy", "fold", "features"}]
