@@ -282,3 +282,12 @@ def test_folds_write_what_they_read(spark, monkeypatch):
     tables = written(monkeypatch, impute)
     impute.cross_validate(learnable(spark, 600), impute.targets()["energy"], "k", 2, FEW)
     assert tables == [{"energy", "fold", "features"}]
+
+
+def test_points_write_what_they_read(spark, monkeypatch):
+    df = learnable(spark, 600).withColumn("text", F.lit("x"))
+    tables = written(monkeypatch, impute)
+    done = impute.impute_key_mode_xyz(df, "k", FEW, ["loudness", "tempo"])
+    assert tables == [{"key", "mode", "held_out", "features", "x", "y", "z"}]
+    assert done.table.columns == df.columns and done.table.where("key is null or mode is null").isEmpty()
+    assert done.counts.first()["imputed_rows"] == df.where("key is null or mode is null").count()
