@@ -291,3 +291,42 @@ def test_points_write_what_they_read(spark, monkeypatch):
     assert tables == [{"key", "mode", "held_out", "features", "x", "y", "z"}]
     assert done.table.columns == df.columns and done.table.where("key is null or mode is null").isEmpty()
     assert done.counts.first()["imputed_rows"] == df.where("key is null or mode is null").count()
+
+
+def test_linear_key_query_does_the_whole_fit(spark, monkeypatch):
+    """All steps and features of the operator, whatever the smaller queries take."""
+    asked = {}
+
+    def noted(df, key, params, **others):
+        asked.update(others, params=params)
+        raise StopIteration
+
+    monkeypatch.setattr(modelling, "_features", lambda spark, d: None)
+    monkeypatch.setattr(softboost, "impute_key", noted)
+    with pytest.raises(StopIteration):
+        modelling.key_linear_imputation(spark, "")
+    assert asked == {"params": softboost.LinearParams()} and asked["params"].iterations == 50
+
+
+def test_linear_fit_goes_on_after_a_small_step():
+    """Along a bent valley the first steps gain little."""
+    def valley(w):
+        a, b = w[0]
+        return (2.5 + 1e-4 * ((1 - a) ** 2 + 100 * (b - a * a) ** 2),
+                1e-4 * np.array([[-2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)]]))
+
+    found = softboost._lbfgs(valley, np.array([[-1.2, 1.0]]), 50)
+    assert found[0] == pytest.approx([1, 1], abs=0.02)
+    assert softboost._lbfgs(lambda w: (1.0, np.zeros((1, 2))), np.zeros((1, 2)), 50).tolist() == [[0, 0]]
+
+
+def test_linear_fit_deletes_its_blocks_and_takes_few_rows(spark, monkeypatch):
+    tables, write = [], softboost.cut_lineage
+    monkeypatch.setattr(softboost, "cut_lineage", lambda df: tables.append(write(df)) or tables[-1])
+    rows = spark.createDataFrame([([float(i), 1.0], i % 2) for i in range(7)], "f array<double>, y int").withColumn(
+        "features", array_to_vector("f")).repartition(3)
+    monkeypatch.setattr(softboost, "BLOCK", 32)
+    model = softboost.fit_linear(rows, "y", np.eye(2).tolist(), 5)
+    assert model.weights.shape == (2, 2) and len(tables) == 1
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        tables[0].count()
