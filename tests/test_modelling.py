@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
 from checks import modelling
@@ -330,3 +330,26 @@ def test_linear_fit_deletes_its_blocks_and_takes_few_rows(spark, monkeypatch):
     assert model.weights.shape == (2, 2) and len(tables) == 1
     with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
         tables[0].count()
+
+
+def test_tempo_query_does_the_whole_fit(spark, monkeypatch):
+    """All rounds of the operator's trees at their depth, from all features."""
+    asked = []
+
+    def brief(train, label, params):
+        asked.append((label, params, train.count()))
+        return GBTRegressor(labelCol=label, maxIter=1, maxDepth=1).fit(train)
+
+    monkeypatch.setattr(modelling, "_features", lambda spark, d: learnable(spark, 200).withColumnRenamed("k", "row_id"))
+    monkeypatch.setattr(impute, "fit_regressor", brief)
+    found = {r["metric"]: r["value"] for r in modelling.tempo_imputation(spark, "").collect()}
+    assert [(label, params) for label, params, _ in asked] == [("tempo", impute.TreeParams())] * 2
+    assert asked[0][1].rounds == 600 and asked[0][1].depth == 6 and asked[0][1].max_bins == 64
+    assert max(n for *_, n in asked) == found["observed_rows"] > min(n for *_, n in asked)
+
+
+def test_long_fits_cut_their_lineage(spark):
+    """Spark ML does so only if there is a folder for it."""
+    impute.fit_regressor(learnable(spark, 50).withColumn("features", array_to_vector(F.array("valence"))).where("energy is not null"),
+                         "energy", impute.TreeParams(rounds=1, depth=1))
+    assert spark.sparkContext.getCheckpointDir()
