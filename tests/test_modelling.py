@@ -1,5 +1,6 @@
 import datetime
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
 from checks import modelling
+from trackloom import session
 from trackloom.functions import circle, decode
 from trackloom.operators import clean, impute, metrics, softboost
 from trackloom.plans import experiments
@@ -348,8 +350,15 @@ def test_tempo_query_does_the_whole_fit(spark, monkeypatch):
     assert max(n for *_, n in asked) == found["observed_rows"] > min(n for *_, n in asked)
 
 
-def test_long_fits_cut_their_lineage(spark):
+def test_long_fits_cut_their_lineage(spark, monkeypatch, tmp_path):
     """Spark ML does so only if there is a folder for it."""
-    impute.fit_regressor(learnable(spark, 50).withColumn("features", array_to_vector(F.array("valence"))).where("energy is not null"),
-                         "energy", impute.TreeParams(rounds=1, depth=1))
-    assert spark.sparkContext.getCheckpointDir()
+    asked = []
+    monkeypatch.setattr(impute, "allow_checkpoints", asked.append)
+    rows = learnable(spark, 50).withColumn("features", array_to_vector(F.array("valence"))).where("energy is not null")
+    impute.fit_regressor(rows, "energy", impute.TreeParams(rounds=1, depth=1))
+    assert asked == [rows.sparkSession]
+    named = []
+    for known in (None, "there"):
+        context = SimpleNamespace(getCheckpointDir=lambda: known, setCheckpointDir=named.append, master="local[2]")
+        session.allow_checkpoints(SimpleNamespace(sparkContext=context, conf={"spark.checkpoint.dir": str(tmp_path)}))
+    assert named == [str(tmp_path)]
